@@ -53,14 +53,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bits_of(hashes: np.ndarray, log2: int) -> np.ndarray:
-    """A bitmap (as bytes) with one bit set for each hash; see ``hit``."""
-    at = np.unique(hashes >> np.uint64(64 - log2))
-    bits = np.zeros(1 << (log2 - 3), np.uint8)
-    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-    return bits
-
-
 def hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be among those the bitmap was made of; none that was is missed."""
     log2 = int(len(bits)).bit_length() - 1 + 3
@@ -68,10 +60,9 @@ def hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def may_be_in(ids: DataFrame, log2: int = 25) -> Callable[[Column], Column]:
-    """A test of integer keys against ``ids`` (one long column), without a shuffle and with
-    false positives only. The bitmap is merged from the partitions' and never larger than
-    2**log2 bits, however many ids there are."""
+def bitmap(ids: DataFrame, log2: int = 25):
+    """A broadcast bitmap of the integers in ``ids`` (one long column), for ``hit`` on their
+    mixed hashes. It is merged from the partitions' and has 2**log2 bits, however many ids there are."""
     from ._text import mix
 
     name = ids.columns[0]
@@ -84,7 +75,7 @@ def may_be_in(ids: DataFrame, log2: int = 25) -> Callable[[Column], Column]:
             at = np.unique(np.concatenate(seen))
             part = (at >> np.uint64(16)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            for x in np.split(at, cuts[1:]):
+            for x in np.split(at, cuts[1:]) if len(at) else []:
                 yield pa.RecordBatch.from_arrays([pa.array([int(x[0] >> np.uint64(16))]), pa.array([(x & np.uint64(65535)).astype(np.uint16).tobytes()], pa.binary())], ["slice", "at"])
 
     def merged(key, table):
@@ -96,7 +87,14 @@ def may_be_in(ids: DataFrame, log2: int = 25) -> Callable[[Column], Column]:
     bits = np.zeros(1 << log2, bool)
     for s, at in zip(found.column("slice").to_pylist(), found.column("at").to_pylist()):
         bits[(s << 16) + np.frombuffer(at, np.uint16).astype(np.int64)] = True
-    packed = ids.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+
+def may_be_in(ids: DataFrame, log2: int = 25) -> Callable[[Column], Column]:
+    """A test of integer keys against ``ids``, without a shuffle and with false positives only."""
+    from ._text import mix
+
+    packed = bitmap(ids, log2)
 
     def test(x):
         k = mix(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))

@@ -15,12 +15,16 @@ class. Any order gives the same result; this one keeps the candidates few.
 
 Documents with equal sets are grouped first (by 128 bits) and joined once, so a group of copies,
 however large, costs a line. Pairs that share too few prefix grams to reach t (an exact bound)
-are dropped; all others are verified on their whole texts. Nothing is capped.
+are dropped. Where a signature is shared by many, as in large groups of near copies, its
+documents are kept as one list in place of their pairs, lists that mostly agree are merged, and
+the texts of a list are read once for all of its pairs, which one matrix product verifies. All
+candidates are verified on whole texts, and nothing is capped.
 
-Result of ``join``: one row for each group of equal sets (jaccard 1) and one for each pair of
-different sets with similarity >= t: ``doc_id`` and ``other_id`` (the two smallest ids of the
-group, or the smallest of either set), ``doc_ids``, the sorted ids of all documents of the row,
-and ``jaccard``. ``keep_one`` keeps of each group that such rows connect the smallest doc_id.
+Result of ``join``: a row for each set of n-grams that several documents have, or that is
+similar to another: ``doc_id``, the smallest of the documents that have it; ``copies``, all of
+those; ``near_ids``, the documents with different sets of similarity >= t; and ``nearest``, the
+greatest such similarity (null without any). Lists are sorted. ``keep_one`` keeps of each
+group that such rows connect the smallest doc_id.
 
 Defined cases. Texts that are null or have no word join nothing and stay. A text of one word has
 that word as its only gram. Rows without doc_id join nothing and stay; rows that repeat one are
@@ -36,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,8 @@ from ._text import Words, mix, words_of
 N, THRESHOLD = 2, 0.6
 CELLS = 22
 BUCKETS = 64
+#: Documents of one signature beyond which they are verified as a list, and of one such list at once.
+LONG, CHUNK = 64, 2048
 _EACH = 1 << 16
 
 
@@ -169,14 +176,15 @@ def order_of(surveyed: DataFrame) -> Order:
 
 
 def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
-    """Pairs (a, b), a < b, of documents that share enough signatures to reach t."""
+    """Bundles of documents to verify. In one with ``every``, all members share signatures and
+    each pair is to be verified; in the others, the first member with each of the rest."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def sign(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, x in words_of(b.column("text")):
-                sigs, size, loose, doc = [], [], [], []
+                sigs, size, doc = [], [], []
                 for r, s in enumerate(gram_sets(x, n)):
                     if len(s):
                         v, combos = held.value.signatures(s, t)
@@ -187,7 +195,11 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(size))], ["sig", "id", "size"])
 
+    names = ["a", "b", "size_a", "size_b", "n", "members"]
+
     def pair(batches):
+        """Documents that share a signature: up to ``LONG`` as pairs with the number of
+        signatures they share here, more as one list, by its least member."""
         cols = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
         if not cols:
             return
@@ -197,76 +209,172 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
         sig = sig[at]
         same = np.zeros(len(sig) + 1, bool)
         same[1:-1] = sig[1:] == sig[:-1]
-        at, sig = at[same[1:] | same[:-1]], sig[same[1:] | same[:-1]]
-        ids, place = np.unique(doc[at], return_inverse=True)
-        size = size[at].astype(np.int64)
-        if not len(at):
+        some = same[1:] | same[:-1]
+        at, sig = at[some], sig[some]
+        doc, size = doc[at], size[at]
+        if not len(doc):
+            return
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        many = np.diff(np.append(start, len(sig)))
+        lists = [np.unique(doc[i : i + m]) for i, m in zip(start[many > LONG], many[many > LONG])]
+        for i in range(0, len(lists), 256):
+            part = lists[i : i + 256]
+            k = len(part)
+            heads = pa.array([int(x[0]) for x in part], pa.int64())
+            whole = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in part]), pa.int32()), pa.array(np.concatenate(part)))
+            yield pa.RecordBatch.from_arrays([heads, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), whole], names)
+        few = np.repeat(many <= LONG, many)
+        doc, size, sig = doc[few], size[few], sig[few]
+        if not len(doc):
             return
+        ids, place = np.unique(doc, return_inverse=True)
         by = np.zeros(len(ids), np.int64)
         by[place] = size
         n_ids = np.int64(len(ids))
-        live, lag, found, held_back = np.arange(len(at)), 1, [], 0
-        total: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def squeeze():
-            keys, cnt = np.concatenate([k for k, _ in total] + found), np.concatenate([c for _, c in total] + [np.ones(len(f), np.int64) for f in found])
-            o = np.argsort(keys, kind="stable")
-            keys, cnt = keys[o], cnt[o]
-            new = np.flatnonzero(np.diff(keys, prepend=-1))
-            total[:] = [(keys[new], np.add.reduceat(cnt, new) if len(new) else cnt)]
-            found.clear()
-
+        live, lag, found = np.arange(len(doc)), 1, []
         while True:
-            live = live[live + lag < len(at)]
+            live = live[live + lag < len(doc)]
             live = live[sig[live] == sig[live + lag]]
             if not len(live):
                 break
-            a, b = place[live], place[live + lag]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            lo, hi = np.minimum(place[live], place[live + lag]), np.maximum(place[live], place[live + lag])
             sa, sb = np.abs(by[lo]), np.abs(by[hi])
             ok = (lo != hi) & (np.minimum(sa, sb) >= t * np.maximum(sa, sb) - 1e-9)
             found.append(lo[ok] * n_ids + hi[ok])
-            held_back += len(found[-1])
-            if held_back > 1 << 22:
-                squeeze()
-                held_back = 0
             lag += 1
-        squeeze()
-        keys, cnt = total[0]
+        keys, cnt = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         lo, hi = keys // n_ids, keys % n_ids
         for i in range(0, len(keys), 1 << 16):
             s = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo[s]]), pa.array(ids[hi[s]]), pa.array(by[lo[s]].astype(np.int32)), pa.array(by[hi[s]].astype(np.int32)), pa.array(cnt[s])], ["a", "b", "size_a", "size_b", "n"])
+            k = len(keys[s])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo[s]]), pa.array(ids[hi[s]]), pa.array(by[lo[s]].astype(np.int32)), pa.array(by[hi[s]].astype(np.int32)), pa.array(cnt[s]), pa.nulls(k, pa.list_(pa.int64()))], names)
+
+    def settle(batches):
+        """Adds up the pairs' signatures and drops pairs with too few: with prefixes of single
+        grams only, the prefix that ends first holds at least ``bound`` shared ones. Merges lists
+        with one least member that overlap for the most part."""
+        tables = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if tables is None:
+            return
+        pairs = tables.filter(pa.compute.is_null(tables.column("members")))
+        if len(pairs):
+            a, b, sa, sb, cnt = (pairs.column(c).to_numpy() for c in names[:5])
+            o = np.lexsort((b, a))
+            a, b, sa, sb, cnt = a[o], b[o], sa[o].astype(np.int64), sb[o].astype(np.int64), cnt[o]
+            new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            cnt, a, b, sa, sb = np.add.reduceat(cnt, new), a[new], b[new], sa[new], sb[new]
+            most, both = np.maximum(np.abs(sa), np.abs(sb)), np.abs(sa) + np.abs(sb)
+            bound = np.ceil(both * (t / (1 + t)) - 1e-9) + 1 - np.ceil(most * t - 1e-9)
+            ok = (sa < 0) | (sb < 0) | (cnt >= bound)
+            a, b = a[ok], b[ok]
+            if len(a):
+                new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                flat = np.insert(b, new, a[new])
+                offsets = np.append(new + np.arange(len(new)), len(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), bool)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["every", "members"])
+        lists = tables.filter(pa.compute.is_valid(tables.column("members"))).sort_by("a")
+        last, merged = None, []
+        for head, members in zip(lists.column("a").to_pylist() if len(lists) else [], (x.values.to_numpy() for x in lists.column("members"))):
+            if head != last:
+                yield from _every(merged)
+                last, merged = head, []
+            for i, m in enumerate(merged):
+                if 2 * len(np.intersect1d(m, members, assume_unique=True)) > len(members):
+                    merged[i] = np.union1d(m, members)
+                    break
+            else:
+                merged.append(members)
+        yield from _every(merged)
 
-    shared = docs.mapInArrow(sign, "sig long, id long, size int").repartition("sig").mapInArrow(pair, "a long, b long, size_a int, size_b int, n long")
-    # With prefixes of single grams only, those of the pair that ends first hold at least this many shared ones.
-    most, both = F.greatest(F.abs("size_a"), F.abs("size_b")), F.abs("size_a") + F.abs("size_b")
-    bound = F.ceil(both * (t / (1 + t)) - 1e-9) + 1 - F.ceil(most * t - 1e-9)
-    enough = (F.col("size_a") < 0) | (F.col("size_b") < 0) | (F.col("n") >= bound)
-    return shared.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")).where(enough).select("a", "b")
+    shared = docs.mapInArrow(sign, "sig long, id long, size int").repartition("sig").mapInArrow(pair, "a long, b long, size_a int, size_b int, n long, members array<long>")
+    return shared.repartition("a").mapInArrow(settle, "every boolean, members array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
+def _every(lists: list[np.ndarray]):
+    """Lists as bundles; one of over ``CHUNK`` members as all pairs of its halved chunks."""
+    out = []
+    for m in lists:
+        if len(m) <= CHUNK:
+            out.append(m)
+        else:
+            parts = np.array_split(m, -(-2 * len(m) // CHUNK))
+            out.extend(np.concatenate([parts[i], parts[j]]) for i in range(len(parts)) for j in range(i + 1, len(parts)))
+    if out:
+        offsets = pa.array(np.cumsum([0] + [len(x) for x in out]), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), bool)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))], ["every", "members"])
+
+
+def _similar(sets: list[np.ndarray], t: float):
+    """(i, j, similarity) of all pairs that reach t. Grams that one set alone has are only counted."""
+    size = np.array([len(s) for s in sets])
+    grams, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    wide = count > 1
+    column = np.cumsum(wide) - 1
+    ok = wide[place]
+    owner, column, width = owner[ok], column[place[ok]], int(wide.sum())
+    step = max(16, min(len(sets), (8 << 20) // (max(width, 1) * 4)))
+    at = np.searchsorted(owner, np.arange(0, len(sets) + step, step))
+
+    def block(k: int) -> np.ndarray:
+        x = np.zeros((min(step, len(sets) - k * step), max(width, 1)), np.float32)
+        x[owner[at[k] : at[k + 1]] - k * step, column[at[k] : at[k + 1]]] = 1
+        return x
+
+    for p in range(-(-len(sets) // step)):
+        left = block(p)
+        for q in range(p, -(-len(sets) // step)):
+            both = (left @ (left if q == p else block(q)).T).astype(np.int64)
+            i, j = p * step, q * step
+            union = size[i : i + len(both), None] + size[None, j : j + both.shape[1]] - both
+            x, y = np.nonzero((both >= t * union - 1e-9) & (union > 0))
+            sim = both[x, y] / union[x, y]
+            x, y = x + i, y + j
+            ok = x < y
+            yield x[ok], y[ok], sim[ok]
+
+
+def verified(docs: DataFrame, bundles: DataFrame, n: int, t: float) -> DataFrame:
+    """Pairs a < b of documents, and their similarity of at least t, from whole texts."""
+
     def check(batches):
+        last, every, ids, sets = None, False, [], []
+
+        def flush():
+            a, b, sim = [], [], []
+            if every:
+                for x, y, v in _similar(sets, t):
+                    a.append(np.array(ids)[x]), b.append(np.array(ids)[y]), sim.append(v)
+            else:
+                head = int(np.argmin(ids))
+                for i, other in enumerate(sets):
+                    o = len(np.intersect1d(sets[head], other, assume_unique=True))
+                    u = len(sets[head]) + len(other) - o
+                    if i != head and u and o >= t * u - 1e-9:
+                        a.append([ids[head]]), b.append([ids[i]]), sim.append([o / u])
+            if a:
+                a, b, sim = np.concatenate(a), np.concatenate(b), np.concatenate(sim)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim)], ["a", "b", "jaccard"])
+
         for b in batches:
-            m = len(b)
-            keep, value = np.zeros(m, bool), np.zeros(m)
-            sets: list[list[np.ndarray]] = [[], []]
-            for side, name in enumerate(("text_a", "text_b")):
-                for _, _, x in words_of(b.column(name)):
-                    sets[side].extend(gram_sets(x, n))
-            for i in range(m):
-                p, q = sets[0][i], sets[1][i]
-                o = len(np.intersect1d(p, q, assume_unique=True))
-                u = len(p) + len(q) - o
-                keep[i] = u > 0 and o >= t * u - 1e-9
-                value[i] = o / u if u else 0.0
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)), pa.array(value[keep])], ["a", "b", "jaccard"])
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    text = only(docs, ids)
-    left, right = (text.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, jaccard double")
+            bundle, whole, doc = b.column("bundle").to_pylist(), b.column("every").to_pylist(), b.column("doc_id").to_pylist()
+            for lo, _, x in words_of(b.column("text")):
+                for r, s in enumerate(gram_sets(x, n)):
+                    if bundle[lo + r] != last:
+                        if ids:
+                            yield from flush()
+                        last, every, ids, sets = bundle[lo + r], whole[lo + r], [], []
+                    ids.append(doc[lo + r])
+                    sets.append(s)
+        if ids:
+            yield from flush()
+
+    members = bundles.select(F.monotonically_increasing_id().alias("bundle"), "every", "members")
+    members = cut(members.select("bundle", "every", F.explode("members").alias("member")))
+    text = only(docs, members.select(F.col("member").alias("doc_id")).distinct())
+    full = members.join(text, members["member"] == text["doc_id"]).select("bundle", "every", "doc_id", "text")
+    return full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(check, "a long, b long, jaccard double").dropDuplicates(["a", "b"])
 
 
 def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
@@ -277,17 +385,16 @@ def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
     groups = cut(surveyed.where("kind = 1").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_list("doc_id")).alias("members")).where(F.size("members") > 1).select("doc_id", "members"))
     spare = groups.select(F.explode(F.slice("members", 2, F.size("members"))).alias("doc_id"))
     alone = without(base, spare)
-    pairs = cut(candidates(alone, order, n, t))
-    return groups, cut(verified(alone, pairs, n, t))
+    return groups, cut(verified(alone, candidates(alone, order, n, t), n, t))
 
 
 def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     groups, pairs = _joined(docs, n, t)
-    equal = groups.select("doc_id", F.get("members", F.lit(1)).alias("other_id"), F.col("members").alias("doc_ids"), F.lit(1.0).alias("jaccard"))
-    a, b = (groups.select(F.col("doc_id").alias(s), F.col("members").alias(f"members_{s}")) for s in "ab")
-    near = pairs.join(a, "a", "left").join(b, "b", "left")
-    members = F.sort_array(F.concat(F.coalesce("members_a", F.array("a")), F.coalesce("members_b", F.array("b"))))
-    return equal.unionByName(near.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), members.alias("doc_ids"), "jaccard"))
+    both = pairs.union(pairs.select("b", "a", "jaccard")).toDF("doc_id", "near", "jaccard")
+    others = both.join(groups.toDF("near", "near_members"), "near", "left")
+    near = others.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(F.coalesce("near_members", F.array("near"))))).alias("near_ids"), F.max("jaccard").alias("nearest"))
+    out = groups.toDF("doc_id", "members").join(near, "doc_id", "full")
+    return out.select("doc_id", F.coalesce("members", F.array("doc_id")).alias("copies"), F.coalesce("near_ids", F.array().cast("array<long>")).alias("near_ids"), "nearest")
 
 
 def components(edges: DataFrame) -> DataFrame:
