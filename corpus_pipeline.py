@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import jaccard_join, language_id, suffix_dedup
+from lodegraph.llm import decontaminate, jaccard_join, language_id, mixing, suffix_dedup
 from lodegraph.llm._frames import shared
 
 
@@ -22,7 +22,21 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return suffix_dedup.remove_repeats(docs)
 
 
-STAGES = [("language_id", identify_language), ("near_copies", drop_near_copies), ("repeated_passages", cut_repeated_passages)]
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.keep_sample(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_copies", drop_near_copies),
+    ("repeated_passages", cut_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+]
 
 #: Suffix automata and model fits have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, substring_dedup, suffix_dedup
-from ._text import SQL_WORDS
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, sql, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(_documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
@@ -30,34 +41,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_documents(spark, sf_dir))
 
 
-#: Stretches covered by windows of 50 words that occur more than once.
-REPEATS_SQL = f"""
-WITH d AS (SELECT doc_id, max(coalesce(text, '')) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
-w AS (SELECT doc_id, {SQL_WORDS} AS w FROM d),
-p AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM w WHERE len(w) >= 50)),
-c AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM p) WHERE n > 1),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM c))
-SELECT doc_id, CAST(min(i) AS BIGINT) AS start_word, CAST(max(i) + 50 AS BIGINT) AS end_word, CAST(count(*) AS BIGINT) AS n_windows, CAST(max(n) AS BIGINT) AS copies FROM s GROUP BY doc_id, g
-"""
-
-JACCARD_SQL = f"""
-WITH d AS (SELECT doc_id, max(coalesce(text, '')) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
-w AS (SELECT doc_id, {SQL_WORDS} AS w FROM d),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
-s AS (SELECT g, list_sort(list(doc_id)) AS ids, min(doc_id) AS id, len(g) AS n FROM g GROUP BY g),
-e AS (SELECT id, n, ids, unnest(g) AS t FROM s),
-p AS (SELECT a.id AS a, b.id AS b, any_value(a.ids) AS ia, any_value(b.ids) AS ib, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
-      FROM e a JOIN e b ON a.t = b.t AND a.id < b.id AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY 1, 2),
-q AS (SELECT *, o / (na + nb - o) AS j FROM p WHERE o >= 0.6 * (na + nb - o) - 1e-9),
-m AS (SELECT id, list_sort(flatten(list(ids))) AS near_ids, max(j) AS nearest FROM (SELECT a AS id, ib AS ids, j FROM q UNION ALL SELECT b, ia, j FROM q) GROUP BY id)
-SELECT s.id AS doc_id, s.ids AS copies, coalesce(near_ids, CAST([] AS BIGINT[])) AS near_ids, nearest FROM s LEFT JOIN m ON s.id = m.id WHERE len(s.ids) > 1 OR m.id IS NOT NULL
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op5_substring_dedup, op8_language_id, op9_suffix_dedup, op10_jaccard_join]
+    made = [op1_license_scan, op2_mixing, op5_substring_dedup, op6_decontamination, op8_language_id, op9_suffix_dedup, op10_jaccard_join]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": REPEATS_SQL, "op9_suffix_dedup": REPEATS_SQL, "op10_jaccard_join": JACCARD_SQL}
+    return {
+        "op1_license_scan": sql.license_sql(),
+        "op5_substring_dedup": sql.REPEATS,
+        "op6_decontamination": sql.decontamination_sql(),
+        "op9_suffix_dedup": sql.REPEATS,
+        "op10_jaccard_join": sql.JACCARD,
+    }
