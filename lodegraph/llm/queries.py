@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mixing, sql, substring_dedup, suffix_dedup
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, sql, substring_dedup, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(_documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(_documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.find_toxic(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_documents(spark, sf_dir))
 
@@ -42,7 +50,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_license_scan, op2_mixing, op5_substring_dedup, op6_decontamination, op8_language_id, op9_suffix_dedup, op10_jaccard_join]
+    made = [op1_license_scan, op2_mixing, op3_quality_rules, op4_toxicity, op5_substring_dedup, op6_decontamination, op8_language_id, op9_suffix_dedup, op10_jaccard_join]
     return {f.__name__: f for f in made}
 
 

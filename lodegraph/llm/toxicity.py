@@ -105,11 +105,6 @@ def signs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, row[owner], sentence[owner]
 
 
-def _chunks(x: np.ndarray, size: int = 1 << 16):
-    for lo in range(0, len(x), size):
-        yield lo, x[lo : lo + size + SPAN - 1]
-
-
 def contributions(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Of each sign, the weights of the subsequences that start with it."""
     padded = np.concatenate([x, np.zeros(SPAN - 1, x.dtype)])
