@@ -44,7 +44,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import cut, keyed, one_row_each, only, without
+from ._frames import cut, keyed, lean, one_row_each, only, without
 from ._runs import pack, unpack
 from ._text import Words, mix, words_of
 
@@ -52,7 +52,7 @@ N, THRESHOLD = 2, 0.6
 CELLS = 22
 BUCKETS = 64
 #: Documents of one signature beyond which they are verified as a list, and of one such list at once.
-LONG, CHUNK = 64, 2048
+LONG, CHUNK = 64, 1024
 _EACH = 1 << 16
 
 
@@ -141,7 +141,8 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
             for lo, hi, x in words_of(b.column("text")):
                 sets = gram_sets(x, n)
                 every = np.concatenate(sets)
-                np.add.at(counts, (every >> np.uint64(64 - CELLS)).astype(np.int64), 1) if len(every) < 4096 else counts.__iadd__(np.bincount((every >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS))
+                cells, many = np.unique((every >> np.uint64(64 - CELLS)).astype(np.int32), return_counts=True)
+                counts[cells] += many
                 size = np.array([len(s) for s in sets])
                 k = np.flatnonzero(size)
                 if len(k):
@@ -156,7 +157,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array([pack(counts[i * _EACH : (i + 1) * _EACH].view(np.uint64)) for i in range(m)], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
 
     names = ["kind", "slice", "counts", "doc_id", "size", "d1", "d2"]
-    return docs.mapInArrow(scan, "kind int, slice int, counts binary, doc_id long, size int, d1 long, d2 long")
+    return docs.mapInArrow(lean(scan), "kind int, slice int, counts binary, doc_id long, size int, d1 long, d2 long")
 
 
 def order_of(surveyed: DataFrame) -> Order:
@@ -286,8 +287,8 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
                 merged.append(members)
         yield from _every(merged)
 
-    shared = docs.mapInArrow(sign, "sig long, id long, size int").repartition("sig").mapInArrow(pair, "a long, b long, size_a int, size_b int, n long, members array<long>")
-    return shared.repartition("a").mapInArrow(settle, "every boolean, members array<long>")
+    shared = docs.mapInArrow(lean(sign), "sig long, id long, size int").repartition("sig").mapInArrow(lean(pair), "a long, b long, size_a int, size_b int, n long, members array<long>")
+    return shared.repartition("a").mapInArrow(lean(settle), "every boolean, members array<long>")
 
 
 def _every(lists: list[np.ndarray]):
@@ -374,7 +375,7 @@ def verified(docs: DataFrame, bundles: DataFrame, n: int, t: float) -> DataFrame
     members = cut(members.select("bundle", "every", F.explode("members").alias("member")))
     text = only(docs, members.select(F.col("member").alias("doc_id")).distinct())
     full = members.join(text, members["member"] == text["doc_id"]).select("bundle", "every", "doc_id", "text")
-    return full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(check, "a long, b long, jaccard double").dropDuplicates(["a", "b"])
+    return full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(lean(check), "a long, b long, jaccard double").dropDuplicates(["a", "b"])
 
 
 def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
