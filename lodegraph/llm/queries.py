@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, sql, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, sql, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_license_scan, op2_mixing, op3_quality_rules, op4_toxicity, op5_substring_dedup, op6_decontamination, op8_language_id, op9_suffix_dedup, op10_jaccard_join]
+    made = [op1_license_scan, op2_mixing, op3_quality_rules, op4_toxicity, op5_substring_dedup, op6_decontamination, op7_url_filter, op8_language_id, op9_suffix_dedup, op10_jaccard_join]
     return {f.__name__: f for f in made}
 
 
