@@ -48,8 +48,8 @@ TOXIC_ROWS, CLEAN_ROWS, CHARS = 600, 1800, 6000
 LANDMARKS = 96
 #: A landmark's log odds, and how many deviations off they must be; clean examples that a round adds.
 ODDS, SURE, HARD = 2.3, 3.0, 400
-#: Windows of the training sample that are scored exactly in a round.
-CLOSE = 30_000
+#: Windows of clean sentences that are scored exactly in a round, besides each sentence's likeliest.
+CLOSE = 10_000
 ROUNDS, EPOCHS, PENALTY = 3, 10, 1e-3
 QUANTILE, LEAN = 0.999, 0.1
 _STEPS = [(c, DECAY ** (c[-1] - P + 1)) for c in combinations(range(1, SPAN), P - 1)]
@@ -158,8 +158,12 @@ def norms(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def scored(x: np.ndarray, weights: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """The windows that may score ``floor`` or more, and their scores."""
     at = np.flatnonzero(bounds(x, weights) >= floor)
-    raw = np.concatenate([np.zeros(0)] + [(weights[u] * v).sum(1) for u, v in (subsequences(x, at[i : i + 4096]) for i in range(0, len(at), 4096))])
-    return at, raw / norms(x, at)
+    return at, _scores(x, weights, at)
+
+
+def _scores(x: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    raw = [np.zeros(0)] + [(weights[u] * v).sum(1) for u, v in (subsequences(x, at[i : i + 4096]) for i in range(0, len(at), 4096))]
+    return np.concatenate(raw) / norms(x, at)
 
 
 def subsequences(x: np.ndarray, at: np.ndarray, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +314,7 @@ def fit(rows: list[str], toxic: list[bool]) -> Model:
     weights, chosen = marks.weights(marks.root @ marks.root @ (np.arange(len(words + others)) < len(words))), np.zeros(0, np.int64)
     known = _places(sentences, set(words), cuts)
     for _ in range(ROUNDS):
-        at, best = _best_windows(x, weights, cuts)
+        at, best = _best_windows(x, weights, cuts, bad)
         # Most sentences of a toxic document are harmless: those that score like clean ones teach nothing.
         hits = np.union1d(known, at[bad & (best > np.quantile(best[~bad], QUANTILE))])
         clean = np.flatnonzero(~bad)
@@ -318,18 +322,25 @@ def fit(rows: list[str], toxic: list[bool]) -> Model:
         examples = np.concatenate([chosen, hits])
         w = _linear_machine(marks.kernel(x, examples) @ marks.root, np.concatenate([np.full(len(chosen), -1.0), np.ones(len(hits))]))
         weights = marks.weights(marks.root @ w)
-    _, best = _best_windows(x, weights, cuts)
+    _, best = _best_windows(x, weights, cuts, bad)
     low = np.quantile(best[~bad], QUANTILE)
     if not (best[bad] > low).any():
         return unknown
     return Model(weights, float(low + LEAN * (np.median(best[bad & (best > low)]) - low)))
 
 
-def _best_windows(x: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _best_windows(x: np.ndarray, weights: np.ndarray, cuts: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each sentence its best window (its first one if all score low) and that one's score."""
     limit = bounds(x, weights)
-    floor = np.partition(limit, -min(len(x), CLOSE))[-min(len(x), CLOSE)]
-    at, score = scored(x, weights, max(float(floor), 1e-9))
+    # Exactly: where the bound is greatest in each sentence, and where it is greatest in clean ones.
+    most = np.maximum.reduceat(limit, cuts)
+    long = np.diff(np.append(cuts, len(x)))
+    tops = np.flatnonzero((limit == np.repeat(most, long)) & (limit > 0))
+    tops = tops[np.unique(np.searchsorted(cuts, tops, "right"), return_index=True)[1]]
+    of_clean = np.where(np.repeat(bad, long), 0, limit)
+    close = np.flatnonzero(of_clean >= max(float(np.partition(of_clean, -min(len(x), CLOSE))[-min(len(x), CLOSE)]), 1e-9))
+    at = np.union1d(tops, close)
+    score = _scores(x, weights, at)
     sentence = np.searchsorted(cuts, at, "right") - 1
     order = np.lexsort((at, -score, sentence))
     first = order[np.flatnonzero(np.diff(sentence[order], prepend=-1))]
