@@ -12,6 +12,8 @@ from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from typing import Any
 
+import yaml
+
 LONGEST_SECTION = 2400
 KNOWN_KEYS = frozenset("type title description resource tags generated verified status stale_after sources usage_window runtime parameters computation executor attester timestamp".split())
 LINK = re.compile(r'(?<!!)\[([^\]]+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)')
@@ -24,10 +26,21 @@ _LOG_DAY, _LOG_KIND = re.compile(r"##\s+(\d{4}-\d{2}-\d{2})\s*$"), re.compile(r"
 # Front matter.
 
 
+class _Loader(yaml.SafeLoader):
+    """Dates that no calendar has stay strings."""
+
+    def construct_yaml_timestamp(self, node: yaml.Node) -> Any:
+        try:
+            return super().construct_yaml_timestamp(node)
+        except ValueError:
+            return node.value
+
+
+_Loader.add_constructor("tag:yaml.org,2002:timestamp", _Loader.construct_yaml_timestamp)
+
+
 def front_matter(text: str) -> tuple[dict[str, Any], str, bool]:
     """The mapping, the body, and whether what looks like front matter could be read; if not, the body is the whole text."""
-    import yaml
-
     lines = text.splitlines()
     if not lines or lines[0].strip() != "---":
         return {}, text, True
@@ -35,7 +48,7 @@ def front_matter(text: str) -> tuple[dict[str, Any], str, bool]:
     if end is None:
         return {}, text, False
     try:
-        got = yaml.safe_load("\n".join(lines[1:end])) or {}
+        got = yaml.load("\n".join(lines[1:end]), _Loader) or {}
     except (yaml.YAMLError, ValueError):
         return {}, text, False
     return (got, "\n".join(lines[end + 1 :]).lstrip("\n"), True) if isinstance(got, dict) else ({}, text, False)
