@@ -221,7 +221,7 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
 
 def parse(patterns: list[str]) -> np.ndarray:
     sign = {"+": 1, ".": 0, "-": -1}
-    return np.array([[sign[c] for c in p] for p in patterns], np.int8).reshape(len(patterns), -1)
+    return np.array([[sign[c] for c in p] for p in patterns], np.int8).reshape(len(patterns), len(patterns[0]) if patterns else 0)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
