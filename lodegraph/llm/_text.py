@@ -168,5 +168,13 @@ def words_of(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, Wor
         yield lo, hi, split(fold(buf), offsets, SIGNS)
 
 
+def row_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each row in turn; only a piece of the rows is held at once."""
+    for _, _, x in words_of(texts):
+        h = x.hashes()
+        for r in range(len(x.first) - 1):
+            yield h[x.first[r] : x.first[r + 1]]
+
+
 #: The same words in DuckDB's SQL, as a list, for texts whose capitals are Latin-1.
 SQL_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+')"

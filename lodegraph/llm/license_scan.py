@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import bitmap, cut, keyed, only
+from ._frames import bitmap, cut, keyed, lean, only
+from ._text import row_hashes
 from .decontaminate import seeds
 from .license_texts import TEMPLATES
-from ._text import words_of
 
 K = 4
 SLACK = 6
@@ -66,9 +66,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, k: int = K, slack
     def verify(batches):
         for b in batches:
             kept = []
-            sides = [[(x, x.hashes(), r) for _, _, x in words_of(b.column(c)) for r in range(len(x.first) - 1)] for c in ("text", "template_text")]
-            for i, (doc_id, name, start, end, votes, lags) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "license", "start_word", "end_word", "votes", "lags")))):
-                d, t = (h[x.first[r] : x.first[r + 1]] for x, h, r in (sides[0][i], sides[1][i]))
+            known = zip(*(b.column(c).to_pylist() for c in ("id", "license", "start_word", "end_word", "votes", "lags")))
+            for d, t, (doc_id, name, start, end, votes, lags) in zip(row_hashes(b.column("text")), row_hashes(b.column("template_text")), known):
                 ok = np.zeros(len(t), bool)
                 for lag in lags:
                     lo, hi = max(0, -lag), min(len(t), len(d) - lag)
@@ -82,4 +81,4 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, k: int = K, slack
 
     near = only(base, found.select(F.col("id").alias("doc_id")).distinct())
     full = found.join(near, found["id"] == near["doc_id"]).join(known, "number").select("id", "license", "start_word", "end_word", "votes", "lags", "text", "template_text")
-    return full.mapInArrow(verify, "doc_id long, license string, start_word long, end_word long, matched_words long, template_words long, votes long")
+    return full.mapInArrow(lean(verify), "doc_id long, license string, start_word long, end_word long, matched_words long, template_words long, votes long")
