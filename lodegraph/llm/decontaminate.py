@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import bitmap, cut, hit, keyed, one_row_each, only, without
-from ._text import Words, mix, words_of
+from ._frames import bitmap, cut, hit, keyed, lean, one_row_each, only, without
+from ._text import Words, mix, row_hashes, words_of
 
 MASKS = ("1110111", "11011011", "110100111", "1010110101")
 #: An overlap needs this many equal words (or all of a shorter item's), and this share of its length.
@@ -63,7 +63,7 @@ def seeds(texts: DataFrame, masks: tuple[str, ...], among=None) -> DataFrame:
                         r = row[at]
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array((at - x.first[r]).astype(np.int32)), pa.array(h.view(np.int64))], ["id", "pos", "seed"])
 
-    return texts.mapInArrow(scan, "id long, pos int, seed long")
+    return texts.mapInArrow(lean(scan), "id long, pos int, seed long")
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
@@ -87,9 +87,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     def verify(batches):
         for b in batches:
             found = []
-            texts = [[(x, x.hashes(), r) for _, _, x in words_of(b.column(c)) for r in range(len(x.first) - 1)] for c in ("text", "item_text")]
-            for i, (doc_id, item_id, lags) in enumerate(zip(*(b.column(c).to_pylist() for c in ("hit_id", "item_id", "lags")))):
-                d, t = (h[x.first[r] : x.first[r + 1]] for x, h, r in (texts[0][i], texts[1][i]))
+            known = zip(*(b.column(c).to_pylist() for c in ("hit_id", "item_id", "lags")))
+            for d, t, (doc_id, item_id, lags) in zip(row_hashes(b.column("text")), row_hashes(b.column("item_text")), known):
                 best = None
                 for lag in lags:
                     lo, hi = max(0, lag), min(len(d), lag + len(t))
@@ -103,7 +102,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
     near = only(base, lie.select(F.col("hit_id").alias("doc_id")).distinct())
     full = lie.join(near, lie["hit_id"] == near["doc_id"]).join(items, "item_id").select("hit_id", "item_id", "lags", "text", "item_text")
-    return full.mapInArrow(verify, "doc_id long, item_id long, start_word long, end_word long, equal_words long, item_words long")
+    return full.mapInArrow(lean(verify), "doc_id long, item_id long, start_word long, end_word long, equal_words long, item_words long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, equal: int = EQUAL, share: float = SHARE) -> DataFrame:
