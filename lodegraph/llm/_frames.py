@@ -46,7 +46,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     null text counts as empty). Only ids are counted in a shuffle; the texts of unrepeated
     ids, that is of nearly all, stay where they are."""
     base = texts(docs).where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
-    again = base.groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
+    again = cut(base.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return base
     one = base.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
@@ -134,7 +134,7 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def one_row_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each doc_id: of rows that repeat one, that with the greatest
     text. Rows without a doc_id stay as they are. Only repeated rows are moved."""
-    again = docs.where(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].alias("doc_id")).count().where("count > 1").select("doc_id").checkpoint()
+    again = cut(docs.where(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].alias("doc_id")).count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return docs
     place = "__place_among_rows"
