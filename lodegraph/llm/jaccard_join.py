@@ -45,11 +45,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._frames import cut, keyed, lean, one_row_each, only, without
-from ._runs import pack, unpack
+from ._runs import BLOCK, pack, shards, steps, unpack
 from ._text import Words, mix, words_of
 
 N, THRESHOLD = 2, 0.6
 CELLS = 22
+#: Leading bits of the signatures by which they meet; what else meets by chance is told apart at the end.
+BITS = 52
 BUCKETS = 64
 #: Documents of one signature beyond which they are verified as a list, and of one such list at once.
 LONG, CHUNK = 64, 1024
@@ -181,31 +183,70 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
     each pair is to be verified; in the others, the first member with each of the rest."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
+    n_shards = shards(docs)
+
     def sign(batches):
+        """Signatures, by shard, as packed runs: their sorted leading bits, and for each the place of its
+        document among those of the run, which come with their sizes."""
+        sigs, place, ids, size = [], [], [], []
+
+        def flush():
+            sig, doc = np.concatenate(sigs) >> np.uint64(64 - BITS), np.concatenate(place)
+            every, sizes = np.array(ids), np.array(size)
+            order = np.argsort(sig, kind="stable")
+            sig, doc = sig[order], doc[order]
+            shard = ((sig >> np.uint64(BITS - 32)) * np.uint64(n_shards)) >> np.uint64(32)
+            at = np.searchsorted(shard, np.arange(n_shards + 1))
+            rows = []
+            for s in range(n_shards):
+                lo, hi = at[s], at[s + 1]
+                if lo < hi:
+                    here, inverse = np.unique(doc[lo:hi], return_inverse=True)
+                    by = np.argsort(every[here], kind="stable")
+                    new = np.empty(len(by), np.uint64)
+                    new[by] = np.arange(len(by), dtype=np.uint64)
+                    here = here[by]
+                    rows.append((s, pack(steps(sig[lo:hi])), pack(new[inverse]), pack(steps(every[here].view(np.uint64))), pack(sizes[here].astype(np.uint64))))
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["dest", "keys", "docs", "ids", "sizes"])
+            for x in (sigs, place, ids, size):
+                x.clear()
+
+        held_back = 0
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            of = b.column("doc_id").to_pylist()
             for lo, hi, x in words_of(b.column("text")):
-                sigs, size, doc = [], [], []
                 for r, s in enumerate(gram_sets(x, n)):
                     if len(s):
                         v, combos = held.value.signatures(s, t)
                         sigs.append(v)
-                        k = len(v)
-                        doc.append(np.full(k, ids[lo + r]))
-                        size.append(np.full(k, -len(s) if combos else len(s), np.int32))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(size))], ["sig", "id", "size"])
+                        place.append(np.full(len(v), len(ids), np.int64))
+                        ids.append(of[lo + r])
+                        size.append(2 * len(s) + combos)
+                        held_back += len(v)
+                if held_back >= BLOCK:
+                    yield from flush()
+                    held_back = 0
+        if sigs:
+            yield from flush()
 
     names = ["a", "b", "size_a", "size_b", "n", "members"]
+    kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())])))
+
+    def pair(key, table):
+        return pa.Table.from_batches([b.cast(kinds) for b in paired(table)], kinds)
 
-    def pair(batches):
+    def paired(table):
         """Documents that share a signature: up to ``LONG`` as pairs with the number of
         signatures they share here, more as one list, by its least member."""
-        cols = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not cols:
-            return
-        sig, doc, size = (np.concatenate(c) for c in zip(*cols))
-        del cols
+        parts = []
+        with np.errstate(over="ignore"):
+            for keys, docs_, ids_, sizes_ in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "ids", "sizes"))):
+                at, sizes_ = unpack(docs_).astype(np.int64), unpack(sizes_).astype(np.int64)
+                signed = np.where(sizes_ & 1, -(sizes_ >> 1), sizes_ >> 1).astype(np.int32)
+                parts.append((np.cumsum(unpack(keys), dtype=np.uint64), np.cumsum(unpack(ids_), dtype=np.uint64).view(np.int64)[at], signed[at]))
+        sig, doc, size = (np.concatenate(c) for c in zip(*parts))
+        del parts
         at = np.argsort(sig, kind="stable")
         sig = sig[at]
         same = np.zeros(len(sig) + 1, bool)
@@ -287,7 +328,8 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
                 merged.append(members)
         yield from _every(merged)
 
-    shared = docs.mapInArrow(lean(sign), "sig long, id long, size int").repartition("sig").mapInArrow(lean(pair), "a long, b long, size_a int, size_b int, n long, members array<long>")
+    packed = docs.mapInArrow(lean(sign), "dest long, keys binary, docs binary, ids binary, sizes binary")
+    shared = packed.groupBy("dest").applyInArrow(pair, "a long, b long, size_a int, size_b int, n long, members array<long>")
     return shared.repartition("a").mapInArrow(lean(settle), "every boolean, members array<long>")
 
 
