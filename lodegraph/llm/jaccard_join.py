@@ -88,8 +88,8 @@ class Order:
     level: np.ndarray  # of each cell
     frequent: np.ndarray
 
-    def signatures(self, s: np.ndarray, t: float) -> tuple[np.ndarray, bool]:
-        """The signatures of a set, and whether combinations are among them."""
+    def signatures(self, s: np.ndarray, t: float) -> tuple[np.ndarray, int | None]:
+        """The signatures of a set, and, if combinations are among them, how many of its grams are frequent."""
         need = len(s) - _least(t, len(s)) + 1
         cell = (s >> np.uint64(64 - CELLS)).astype(np.int64)
         often = self.frequent[cell]
@@ -101,7 +101,7 @@ class Order:
             under = rare[level < edge]
             rare = np.concatenate([under, rare[level == edge][: need - len(under)]])
         if len(rare) == need:
-            return rare, False
+            return rare, None
         need -= len(rare)
         common = s[often]
         order = np.lexsort((common, self.level[cell[often]]))
@@ -129,7 +129,7 @@ class Order:
                 lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
                 with np.errstate(over="ignore"):
                     out.append(mix(lo * np.uint64(0xA0761D6478BD642F) + hi))
-        return np.concatenate(out), True
+        return np.concatenate(out), int(often.sum())
 
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
@@ -218,11 +218,11 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
             for lo, hi, x in words_of(b.column("text")):
                 for r, s in enumerate(gram_sets(x, n)):
                     if len(s):
-                        v, combos = held.value.signatures(s, t)
+                        v, common = held.value.signatures(s, t)
                         sigs.append(v)
                         place.append(np.full(len(v), len(ids), np.int64))
                         ids.append(of[lo + r])
-                        size.append(2 * len(s) + combos)
+                        size.append(2 * len(s) if common is None else common << 32 | 2 * len(s) + 1)
                         held_back += len(v)
                 if held_back >= BLOCK:
                     yield from flush()
@@ -230,8 +230,8 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
         if sigs:
             yield from flush()
 
-    names = ["a", "b", "size_a", "size_b", "n", "members"]
-    kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())])))
+    names = ["a", "b", "size_a", "size_b", "n", "members", "common"]
+    kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()])))
 
     def pair(key, table):
         return pa.Table.from_batches([b.cast(kinds) for b in paired(table)], kinds)
@@ -243,8 +243,7 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
         with np.errstate(over="ignore"):
             for keys, docs_, ids_, sizes_ in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "ids", "sizes"))):
                 at, sizes_ = unpack(docs_).astype(np.int64), unpack(sizes_).astype(np.int64)
-                signed = np.where(sizes_ & 1, -(sizes_ >> 1), sizes_ >> 1).astype(np.int32)
-                parts.append((np.cumsum(unpack(keys), dtype=np.uint64), np.cumsum(unpack(ids_), dtype=np.uint64).view(np.int64)[at], signed[at]))
+                parts.append((np.cumsum(unpack(keys), dtype=np.uint64), np.cumsum(unpack(ids_), dtype=np.uint64).view(np.int64)[at], sizes_[at]))
         sig, doc, size = (np.concatenate(c) for c in zip(*parts))
         del parts
         at = np.argsort(sig, kind="stable")
@@ -264,14 +263,16 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
             k = len(part)
             heads = pa.array([int(x[0]) for x in part], pa.int64())
             whole = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in part]), pa.int32()), pa.array(np.concatenate(part)))
-            yield pa.RecordBatch.from_arrays([heads, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), whole], names)
+            yield pa.RecordBatch.from_arrays([heads, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), whole, pa.nulls(k, pa.int32())], names)
         few = np.repeat(many <= LONG, many)
         doc, size, sig = doc[few], size[few], sig[few]
         if not len(doc):
             return
         ids, place = np.unique(doc, return_inverse=True)
-        by = np.zeros(len(ids), np.int64)
-        by[place] = size
+        by, common = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+        common[place] = size >> 32
+        size = size & 0xFFFFFFFF
+        by[place] = np.where(size & 1, -(size >> 1), size >> 1)
         n_ids = np.int64(len(ids))
         live, lag, found = np.arange(len(doc)), 1, []
         while True:
@@ -289,25 +290,27 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
         for i in range(0, len(keys), 1 << 16):
             s = slice(i, i + (1 << 16))
             k = len(keys[s])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo[s]]), pa.array(ids[hi[s]]), pa.array(by[lo[s]].astype(np.int32)), pa.array(by[hi[s]].astype(np.int32)), pa.array(cnt[s]), pa.nulls(k, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo[s]]), pa.array(ids[hi[s]]), pa.array(by[lo[s]].astype(np.int32)), pa.array(by[hi[s]].astype(np.int32)), pa.array(cnt[s]), pa.nulls(k, pa.list_(pa.int64())), pa.array(np.minimum(common[lo[s]], common[hi[s]]))], names)
 
     def settle(batches):
-        """Adds up the pairs' signatures and drops pairs with too few: with prefixes of single
-        grams only, the prefix that ends first holds at least ``bound`` shared ones. Merges lists
+        """Adds up the pairs' signatures and drops pairs with too few for what they must share. Merges lists
         with one least member that overlap for the most part."""
         tables = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if tables is None:
             return
         pairs = tables.filter(pa.compute.is_null(tables.column("members")))
         if len(pairs):
-            a, b, sa, sb, cnt = (pairs.column(c).to_numpy() for c in names[:5])
+            a, b, sa, sb, cnt, common = (pairs.column(c).to_numpy() for c in (*names[:5], "common"))
             o = np.lexsort((b, a))
-            a, b, sa, sb, cnt = a[o], b[o], sa[o].astype(np.int64), sb[o].astype(np.int64), cnt[o]
+            a, b, sa, sb, cnt, common = a[o], b[o], sa[o].astype(np.int64), sb[o].astype(np.int64), cnt[o], common[o]
             new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            cnt, a, b, sa, sb = np.add.reduceat(cnt, new), a[new], b[new], sa[new], sb[new]
-            most, both = np.maximum(np.abs(sa), np.abs(sb)), np.abs(sa) + np.abs(sb)
-            bound = np.ceil(both * (t / (1 + t)) - 1e-9) + 1 - np.ceil(most * t - 1e-9)
-            ok = (sa < 0) | (sb < 0) | (cnt >= bound)
+            cnt, a, b, sa, sb, common = np.add.reduceat(cnt, new), a[new], b[new], sa[new], sb[new], common[new]
+            least = np.ceil((np.abs(sa) + np.abs(sb)) * (t / (1 + t)) - 1e-9)
+            behind = lambda size: np.ceil(np.abs(size) * t - 1e-9) - 1
+            # What may be shared beyond the shared signatures: grams behind the prefix that ends first, or of the
+            # one that has no combinations, or, as all of both's rare grams are signatures, frequent ones.
+            beyond = np.where((sa < 0) & (sb < 0), common, np.where(sa < 0, behind(sb), np.where(sb < 0, behind(sa), np.maximum(behind(sa), behind(sb)))))
+            ok = cnt + beyond >= least
             a, b = a[ok], b[ok]
             if len(a):
                 new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
@@ -329,7 +332,7 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
         yield from _every(merged)
 
     packed = docs.mapInArrow(lean(sign), "dest long, keys binary, docs binary, ids binary, sizes binary")
-    shared = packed.groupBy("dest").applyInArrow(pair, "a long, b long, size_a int, size_b int, n long, members array<long>")
+    shared = packed.groupBy("dest").applyInArrow(pair, "a long, b long, size_a int, size_b int, n long, members array<long>, common int")
     return shared.repartition("a").mapInArrow(lean(settle), "every boolean, members array<long>")
 
 
