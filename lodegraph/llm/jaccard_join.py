@@ -6,8 +6,9 @@ most ``size - ceil(t * size)`` grams of either set unshared, one gram more than
 shared one. Grams of the frequent class are not indexed singly. A prefix that reaches into
 them is extended, and combinations of two of its grams from one bucket of the class are
 indexed instead: with n_b grams of bucket b in the prefix, n_b - 1 of them count towards
-its length, so that either a rare gram or a pair from one bucket is shared for certain. Single
-signatures are few for each gram, and combinations of frequent grams are rare again.
+its length, so that either a rare gram or a pair from one bucket is shared for certain. A set
+too small to extend its prefix so far has all of its grams indexed, both singly and in combinations,
+so it meets sets of either sort. Single signatures are few for each gram, and combinations of frequent grams are rare again.
 
 The order comes from the corpus: partitions count their documents' grams in a fixed number of
 cells, the merged counts order the cells, and cells that stand out of the mean form the frequent
@@ -119,16 +120,17 @@ class Order:
             seen.add(b)
         out = [rare]
         if need > 0:
-            # Too few to extend to: what is missing is made up for by single frequent grams.
+            # Too few to extend to: all frequent grams are indexed singly, for others like this, and
+            # in all their combinations, for those that could be extended and have nothing else.
             out.append(common)
         else:
             common, bucket = common[:size], bucket[:size]
-            for b in np.unique(bucket):
-                x = common[bucket == b]
-                i, j = np.triu_indices(len(x), 1)
-                lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
-                with np.errstate(over="ignore"):
-                    out.append(mix(lo * np.uint64(0xA0761D6478BD642F) + hi))
+        for b in np.unique(bucket):
+            x = common[bucket == b]
+            i, j = np.triu_indices(len(x), 1)
+            lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
+            with np.errstate(over="ignore"):
+                out.append(mix(lo * np.uint64(0xA0761D6478BD642F) + hi))
         return np.concatenate(out), int(often.sum())
 
 

@@ -83,6 +83,31 @@ def test_frequent_grams_lose_no_pair():
                 assert len(np.intersect1d(order.signatures(a, 0.6)[0], order.signatures(b, 0.6)[0]))
 
 
+def test_small_sets_meet_extended_ones(spark):
+    """Sets too small to extend their prefixes and sets that are extended share a signature, if only frequent grams are common to them."""
+    rnd = np.random.default_rng(11)
+    draw = lambda n: np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+    for n in range(30, 111, 4):
+        for _ in range(10):
+            base = draw(n)
+            often = np.zeros(1 << jaccard_join.CELLS, bool)
+            often[(base >> np.uint64(64 - jaccard_join.CELLS)).astype(np.int64)] = True
+            order = jaccard_join.Order(rnd.integers(0, 255, 1 << jaccard_join.CELLS).astype(np.uint8), often)
+            longer = np.union1d(base, draw(int(0.3 * n)))
+            shorter = base[rnd.permutation(n)[: int(0.9 * n)]]
+            for a, b in ((base, longer), (np.sort(shorter), longer), (base, np.sort(shorter))):
+                if len(np.intersect1d(a, b)) >= 0.6 * len(np.union1d(a, b)):
+                    assert len(np.intersect1d(order.signatures(a, 0.6)[0], order.signatures(b, 0.6)[0])), n
+    # Whole texts: a large group of near copies, some with text of their own at the end.
+    plain = random.Random(12)
+    base = [f"b{i}" for i in range(80)]
+    rows = {i: base[: plain.randrange(50, 81)] + [f"own{i}x{j}" for j in range(plain.choice([0, 2, 12, 24]))] for i in range(160)}
+    sets = {d: {tuple(w[i : i + 2]) for i in range(len(w) - 1)} for d, w in rows.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-9}
+    found = jaccard_join.join(spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id long, text string")).collect()
+    assert {tuple(sorted((c, x))) for r in found for c in r["copies"] for x in r["near_ids"]} == want
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
