@@ -10,7 +10,8 @@ ends of paths are the templates, such as ``/de|en/{n}.html``.
 
 A template's purity is its share of pages labelled good, smoothed by ``WEIGHT`` pseudo-pages of its host's share,
 which is smoothed likewise by that of all labelled pages. Templates of a purity under
-``PURITY`` are rejected, and their pages with them.
+``PURITY`` are rejected, and their pages with them. Labels are of documents, and page_id only numbers
+the pages: a page's document is the last number of its URL's path (7817 for /en/7817.html?page=2).
 
 URLs are first counted by host and typed path, so the tree is grown over distinct shapes, level by
 level; a level costs a few grouped sums, and only the names that stay, at most 1 / SHARE below a
@@ -23,7 +24,7 @@ Result of ``judge``: for every row ``page_id``, ``host``, ``template``, ``n_page
 Defined cases. The scheme, user, port, query and fragment of a URL, empty segments and the case of the host play
 no part. A null or empty URL, and one without a host, has no template; its purity is null and it is not
 rejected. Segments beyond the first ``DEEPEST`` are one segment ``**``. Rows that repeat are answered
-each; they count as pages each. Rows without page_id have no label. Of repeated labels the lowest counts, null
+each; they count as pages each. Paths without a number have no label. Of repeated labels the lowest counts, null
 ones not at all. Equal counts go by the alphabet. A purity of exactly ``PURITY`` is kept. Other columns play no part. Without any label
 nothing is rejected and purity is null. Empty tables give an empty result.
 """
@@ -48,10 +49,18 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def document_of(url: Column) -> Column:
+    """The doc_id of the page's document: the last number of the path, but for a file's extension."""
+    return F.regexp_extract(F.regexp_replace(path_of(url), r"\.[A-Za-z][A-Za-z0-9]{0,4}/*$", ""), r"([0-9]+)[^0-9]*$", 1).try_cast("long")
+
+
 def kinds(url: Column) -> Column:
     """The path's segments, variable ones as their types."""
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    names = F.filter(F.split(path, "/"), lambda s: s != "")
+    names = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     whole = F.when(F.size(names) > DEEPEST, F.concat(F.slice(names, 1, DEEPEST), F.array(F.lit("**")))).otherwise(names)
 
     def kind(s: Column) -> Column:
@@ -116,9 +125,10 @@ def grow(shapes: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host_of(pages["url"].cast("string")).alias("host"), kinds(pages["url"].cast("string")).alias("kinds"))
+    url = pages["url"].cast("string")
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host_of(url).alias("host"), kinds(url).alias("kinds"), document_of(url).alias("document"))
     known = labels.select(labels["doc_id"].cast("long").alias("known_id"), labels["quality"].cast("int").alias("quality")).where("known_id IS NOT NULL AND quality IS NOT NULL").groupBy("known_id").agg((F.min("quality") > 0).cast("int").alias("is_good"))
-    labelled = rows.where("host IS NOT NULL").join(known, rows["page_id"] == known["known_id"], "left")
+    labelled = rows.where("host IS NOT NULL").join(known, rows["document"] == known["known_id"], "left")
     shapes = cut(labelled.groupBy("host", "kinds").agg(F.count("*").alias("n"), F.count("is_good").alias("labelled"), F.coalesce(F.sum("is_good"), F.lit(0)).alias("good")))
     grown = cut(grow(shapes))
     per_host = grown.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("good").alias("host_good"))

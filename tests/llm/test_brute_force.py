@@ -347,3 +347,13 @@ def test_url_templates(spark):
         prior = (sum(of_host) + 10 * share) / (len(of_host) + 10)
         assert abs(got[ids[0]]["purity"] - (sum(good[i] for i in ids) + 10 * prior) / (len(ids) + 10)) < 1e-5 and got[ids[0]]["n_pages"] == len(ids)
     assert url_filter.groups({"a": (50, 40, 39, {"{n}": 50}), "b": (40, 30, 3, {"{n}": 40}), "c": (30, 0, 0, {"{n}": 30}), "d": (90, 9, 9, {"/": 90})}) == [["d"], ["a", "c"], ["b"]]
+
+
+def test_url_labels_follow_the_document(spark):
+    """Labels are those of the document that the URL names, whatever the pages' own numbers."""
+    forms = ["{}", "{}/", "{}.html", "{}.mp4", "{}?page=2&ref=x", "{}#top7"]
+    rows = [(i, f"https://h.example/{('ok', 'bad')[i % 2]}/" + forms[i % 6 if i % 2 else 2].format(5000 - i)) for i in range(300)] + [(400, "https://h.example/ok/" + "9" * 30)]
+    labels = [(5000 - i, int(i % 2 == 0), 0) for i in range(300)] + [(i, i % 2, 0) for i in range(300)]  # the latter are of other documents
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i]["rejected"] == (i % 2 == 1) for i in range(300)) and not got[400]["rejected"]
+    assert sum({r["template"]: r["n_labelled"] for r in got.values()}.values()) == 300
