@@ -357,3 +357,24 @@ def test_url_labels_follow_the_document(spark):
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert all(got[i]["rejected"] == (i % 2 == 1) for i in range(300)) and not got[400]["rejected"]
     assert sum({r["template"]: r["n_labelled"] for r in got.values()}.values()) == 300
+
+
+def test_url_sections_of_large_hosts(spark, monkeypatch):
+    """A section is judged by its own pages, however many others its host has."""
+    rows, labels = [], []
+    for j in range(100):  # 99 sections of 1 % each and a bad one; below 2 % all
+        for i in range(40):
+            rows.append((len(rows), f"https://h.example/sec{'abcdefghij'[j // 10]}{'abcdefghij'[j % 10]}/{len(rows)}"))
+            if i < 30:
+                labels.append((len(rows) - 1, int(j != 57), 0))
+    few = range(len(rows), len(rows) + 8)  # few pages, but of another form than all others
+    rows += [(i, f"https://h.example/odd/x{i}/y") for i in few]
+    rows += [(i, f"https://h.example/once{i}q/{i}") for i in range(5000, 5400)]
+    run = lambda: {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    got = run()
+    assert {i for i, r in got.items() if r["rejected"]} == set(range(57 * 40, 58 * 40))
+    assert got[57 * 40]["template"] == "/secfh/{n}" and got[57 * 40]["n_pages"] == 40
+    assert got[0]["n_pages"] == 99 * 40 and got[0]["template"].endswith("|+49/{n}")
+    assert got[few[0]]["template"].startswith("/odd/") and got[5000]["template"] == "/*/{n}"
+    monkeypatch.setattr(url_filter, "BLOCK", 16)  # merged in blocks, the same
+    assert {i: r["template"] for i, r in run().items()} == {i: r["template"] for i, r in got.items()}
