@@ -73,7 +73,8 @@ _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
 def signs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows' signs (0 between words, 1 to 26 for letters, 27 to 31 for those beyond ASCII), the row
-    of each sign, and its sentence within the piece. Between sentences there are SPAN zeros."""
+    of each sign, and its sentence within the piece. Between sentences there are SPAN zeros; between rows there
+    are so many that no window of a row reaches the next one, and those by which rows lie further apart are of row -1."""
     keep = (buf & 0xC0) != 0x80
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep]
     raw = buf[keep]
@@ -95,14 +96,16 @@ def signs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     edge = np.concatenate([[2], gap, [2]])
     single[:] = (edge[:-1] > 0) & (edge[1:] > 0)
     gap[(gap == 1) & single[:-1] & single[1:]] = 0
-    width = np.where(gap == 2, SPAN, gap)
+    width = np.where(other, STARTS + SPAN - 2, np.where(gap == 2, SPAN, gap))
     place = SPAN + np.arange(len(code)) + np.concatenate([[0], np.cumsum(width)])
     out = np.zeros(int(place[-1]) + 1 + SPAN, np.int32)
     out[place] = code
     sentence = np.concatenate([[0], np.cumsum(gap == 2)])
-    # Each zero belongs to the letter before it, and the first ones to the first letter.
-    owner = np.repeat(np.arange(len(code)), np.diff(np.concatenate([[0], place[1:], [len(out)]])))
-    return out, row[owner], sentence[owner]
+    # Each zero belongs to the letter before it, but the SPAN ones before a row's first letter to that.
+    owner = np.repeat(np.arange(len(code)), np.diff(np.concatenate([[0], place[1:] - SPAN * other, [len(out)]])))
+    of_row = row[owner]
+    of_row[((place[1:][other] - SPAN)[:, None] - np.arange(1, STARTS - 1)).ravel()] = -1
+    return out, of_row, sentence[owner]
 
 
 def contributions(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -187,7 +190,8 @@ class Model:
             best = np.zeros(len(offsets) - 1)
             if len(x) and np.isfinite(self.threshold):
                 at, score = scored(x, self.weights, self.threshold)
-                np.maximum.at(best, row[at], score)
+                own = row[at] >= 0
+                np.maximum.at(best, row[at][own], score[own])
             out.append(best)
         score = np.round(np.concatenate(out), 6)
         return np.where(score >= self.threshold, score, 0.0)

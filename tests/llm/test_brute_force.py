@@ -378,3 +378,16 @@ def test_url_sections_of_large_hosts(spark, monkeypatch):
     assert got[few[0]]["template"].startswith("/odd/") and got[5000]["template"] == "/*/{n}"
     monkeypatch.setattr(url_filter, "BLOCK", 16)  # merged in blocks, the same
     assert {i: r["template"] for i, r in run().items()} == {i: r["template"] for i, r in got.items()}
+
+
+def test_toxicity_of_own_text():
+    """A row scores the same alone and among others."""
+    marks = toxicity.Landmarks([bytes(ord(c) - 96 for c in w) for w in ("stupid", "moron")])
+    model = toxicity.Model(marks.weights(np.array([1.0, 0.7])), 0.1)
+    rows = ["clean words", "stupid folk", "a", "moron", None, "...", "We say st", "upid. By the moron", "x", "stup", "stupid", "of"]
+    alone = [model.scores(pa.array([t], pa.string()))[0] for t in rows]
+    assert alone[0] == 0 and alone[1] > 0
+    assert model.scores(pa.array(rows)).tolist() == alone
+    assert model.scores(pa.array(rows[::-1])).tolist() == alone[::-1]
+    sentences = toxicity.sentences_of(["of it. so", "stupid folk"], [False, True])
+    assert [(len(s), bad) for s, bad in sentences.items()] == [(5, False), (2, False), (11, True)]
