@@ -15,8 +15,8 @@ Result of ``scan``: a row for each verified span: ``doc_id``, ``license``, ``sta
 ``end_word`` (exclusive), ``matched_words``, ``template_words`` and ``votes``. A template found
 twice in a document is two rows; templates that match at one place are a row each.
 
-Defined cases. Null or empty texts and those of under ``k`` words have no span, and templates
-of under ``k`` words none either. Rows without doc_id are left out; rows that repeat one are one
+Defined cases. Null or empty texts have no span, and templates without a word none either; one of under
+``k`` words is a gram as a whole. Rows without doc_id are left out; rows that repeat one are one
 document, with the greatest of their texts. Diagonals that lie at most ``slack`` words (and a
 quarter of the template) apart are merged, equal ones always. Other columns play no part.
 Empty tables, on either side, give an empty result.
@@ -24,6 +24,8 @@ Empty tables, on either side, give an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -45,23 +47,28 @@ def templates(spark, texts: dict[str, str] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "number long, license string, template_text string")
 
 
-def spans(votes: DataFrame, k: int, slack: int) -> DataFrame:
-    """Merges neighbouring diagonals. votes: id, number, lag, votes, first, last, slack."""
+def spans(votes: DataFrame, slack: int) -> DataFrame:
+    """Merges neighbouring diagonals. votes: id, number, lag, votes, first, last, quarter, width."""
     order = Window.partitionBy("id", "number").orderBy("lag")
     fresh = F.coalesce((F.col("lag") - F.lag("lag").over(order) > F.least(F.lit(slack), F.col("quarter"))).cast("int"), F.lit(1))
     merged = votes.withColumn("fresh", fresh).withColumn("cluster", F.sum("fresh").over(order))
-    return merged.groupBy("id", "number", "cluster").agg(F.min("first").alias("start_word"), (F.max("last") + k).alias("end_word"), F.sum("votes").alias("votes"), F.sort_array(F.collect_list("lag")).alias("lags"))
+    return merged.groupBy("id", "number", "cluster").agg(F.min("first").alias("start_word"), (F.max("last") + F.max("width")).cast("long").alias("end_word"), F.sum("votes").alias("votes"), F.sort_array(F.collect_list("lag")).alias("lags"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, k: int = K, slack: int = SLACK, share: float = SHARE) -> DataFrame:
     base = keyed(docs)
     known = templates(docs.sparkSession, texts)
-    mask = ("1" * k,)
-    wanted = cut(seeds(known.select("number", "template_text"), mask).toDF("number", "template_pos", "seed"))
-    hits = seeds(base, mask, bitmap(wanted.select("seed")))
+    # Each template is looked for by grams of k words, or of all of its words if it has fewer. A mask's place in the
+    # tuple tells its hashes apart, and of those down to a template's own length only the last fits into a short one.
+    rows = known.toArrow()
+    sizes = dict(zip(rows.column("number").to_pylist(), (min(k, len(t)) for t in row_hashes(rows.column("template_text").combine_chunks()))))
+    masks = tuple("1" * g for g in range(k, min([k, *(g for g in sizes.values() if g)]) - 1, -1))
+    parts = [seeds(known.where(F.col("number").isin([n for n, x in sizes.items() if x == g])).select("number", "template_text"), masks[: k - g + 1]).withColumn("width", F.lit(g)) for g in sorted({k, *(g for g in sizes.values() if g)})]
+    wanted = cut(reduce(DataFrame.union, parts).toDF("number", "template_pos", "seed", "width"))
+    hits = seeds(base, masks, bitmap(wanted.select("seed")))
     votes = hits.join(wanted, "seed").groupBy("id", "number", (F.col("pos") - F.col("template_pos")).alias("lag")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    quarter = wanted.groupBy("number").agg((F.floor((F.max("template_pos") + k) / 4)).alias("quarter"))
-    found = cut(spans(votes.join(quarter, "number"), k, slack))
+    quarter = wanted.groupBy("number").agg((F.floor((F.max("template_pos") + F.max("width")) / 4)).alias("quarter"), F.max("width").alias("width"))
+    found = cut(spans(votes.join(quarter, "number"), slack))
 
     def verify(batches):
         for b in batches:

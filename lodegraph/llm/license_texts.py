@@ -25,6 +25,12 @@ that the following conditions are met"""
 _ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
 hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
 
+_AS_IS_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+
 TEMPLATES = {
     "apache-2.0-header": _APACHE_HEADER,
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -36,7 +42,9 @@ TEMPLATES = {
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "isc-grant": _ISC_GRANT,
     "mit-grant": _MIT_GRANT,
+    "mit-text": f"{_MIT_GRANT}\n{_AS_IS_MIT}",
     "mit-notice": "Released under the MIT License.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "reserved-statement": "All rights reserved.",
     "reserved-notice": "Copyright. All rights reserved by the author.",
 }

@@ -391,3 +391,12 @@ def test_toxicity_of_own_text():
     assert model.scores(pa.array(rows[::-1])).tolist() == alone[::-1]
     sentences = toxicity.sentences_of(["of it. so", "stupid folk"], [False, True])
     assert [(len(s), bad) for s, bad in sentences.items()] == [(5, False), (2, False), (11, True)]
+
+
+def test_short_license_statements(spark):
+    """Statements of fewer words than a gram are found, at the end and alone, and only whole."""
+    rows = [(1, "All rights reserved."), (2, "some text\nALL RIGHTS RESERVED"), (3, "all rights"), (4, "all rights are reserved"), (5, "all rights reserved. all rights reserved."), (6, "Licensed under CC BY-NC 4.0.")]
+    got = {tuple(r)[:6] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    name = "reserved-statement"
+    assert got == {(1, name, 0, 3, 3, 3), (2, name, 2, 5, 3, 3), (5, name, 0, 3, 3, 3), (5, name, 3, 6, 3, 3), (6, "cc-by-nc-4.0-notice", 0, 7, 7, 7)}
+    assert {tuple(r)[:4] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"two": "all rights", "none": "..."}).collect()} >= {(3, "two", 0, 2), (1, "two", 0, 2)}
