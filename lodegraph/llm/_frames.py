@@ -9,35 +9,80 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most bytes that one operator sends to every worker.
-BROADCAST_BYTES = 16 << 20
+#: Bits of a broadcast bitmap: 32 for each id, between these bounds (2**28 bits are 32 MB). Beyond them it lets
+#: more ids through to the exact join, and loses none.
+LEAST_BITS, MOST_BITS = 20, 28
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def release() -> None:
+    """Hands the worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def lean(function: Callable) -> Callable:
     """For the functions given to mapInArrow: a worker hands its free memory back to the system when it has
-    done a task, as workers stay for later tasks, and several share an executor."""
+    done a task, as workers stay for later tasks, and several share an executor. Large arrays are given back at once."""
 
     @functools.wraps(function)
     def run(batches):
+        if hasattr(libc := _libc(), "mallopt"):
+            libc.mallopt(-3, 8 << 20)
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
+
+    return run
+
+
+def lean_group(function: Callable) -> Callable:
+    """The like for those given to applyInArrow."""
+
+    @functools.wraps(function)
+    def run(key, table):
+        try:
+            return function(key, table)
+        finally:
+            del table
+            release()
 
     return run
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def id_of(docs: DataFrame, key: str = "doc_id") -> Column:
+    """The integer id of a row; an id of another type that is no integer counts as null."""
+    return docs[key].try_cast("long")
+
+
+def same_columns(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone, so that other columns, whatever their names, play no part."""
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    return docs.select(id_of(docs, key).alias("doc_id"), docs[text].cast("string").alias("text"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -80,12 +125,14 @@ def hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def bitmap(ids: DataFrame, log2: int = 25):
+def bitmap(ids: DataFrame, log2: int | None = None):
     """A broadcast bitmap of the integers in ``ids`` (one long column), for ``hit`` on their
-    mixed hashes. It is merged from the partitions' and has 2**log2 bits, however many ids there are."""
+    mixed hashes. It is merged from the partitions' and has 2**log2 bits (``ids`` is counted for that if not given)."""
     from ._text import mix
 
     name = ids.columns[0]
+    if log2 is None:
+        log2 = min(MOST_BITS, max(LEAST_BITS, ids.count().bit_length() + 5))
 
     def partial(batches):
         seen = []
@@ -99,18 +146,20 @@ def bitmap(ids: DataFrame, log2: int = 25):
                 yield pa.RecordBatch.from_arrays([pa.array([int(x[0] >> np.uint64(16))]), pa.array([(x & np.uint64(65535)).astype(np.uint16).tobytes()], pa.binary())], ["slice", "at"])
 
     def merged(key, table):
-        at = np.unique(np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("at").to_pylist()]))
-        return pa.table({"slice": [key[0].as_py()], "at": pa.array([at.tobytes()], pa.binary())})
+        bits = np.zeros(1 << 16, bool)
+        for x in table.column("at").to_pylist():
+            bits[np.frombuffer(x, np.uint16)] = True
+        return pa.table({"slice": [key[0].as_py()], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    schema = "slice long, at binary"
-    found = ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long")).mapInArrow(partial, schema).groupBy("slice").applyInArrow(merged, schema).toArrow()
-    bits = np.zeros(1 << log2, bool)
-    for s, at in zip(found.column("slice").to_pylist(), found.column("at").to_pylist()):
-        bits[(s << 16) + np.frombuffer(at, np.uint16).astype(np.int64)] = True
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    wanted = ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long"))
+    found = wanted.mapInArrow(partial, "slice long, at binary").groupBy("slice").applyInArrow(merged, "slice long, bits binary").toArrow()
+    packed = np.zeros(1 << (log2 - 3), np.uint8)
+    for s, x in zip(found.column("slice").to_pylist(), found.column("bits").to_pylist()):
+        packed[s << 13 : (s + 1) << 13] = np.frombuffer(x, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(packed)
 
 
-def may_be_in(ids: DataFrame, log2: int = 25) -> Callable[[Column], Column]:
+def may_be_in(ids: DataFrame, log2: int | None = None) -> Callable[[Column], Column]:
     """A test of integer keys against ``ids``, without a shuffle and with false positives only."""
     from ._text import mix
 
@@ -127,29 +176,41 @@ def may_be_in(ids: DataFrame, log2: int = 25) -> Callable[[Column], Column]:
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` whose doc_id is in ``ids`` (distinct): a bitmap test first, so that the exact
     join moves hardly more than the rows it keeps."""
-    test = may_be_in(ids)
-    return docs.where(test(docs["doc_id"])).join(ids, "doc_id", "left_semi")
+    maybe, _ = apart(docs, ids)
+    wanted = ids.toDF(fresh(docs, "wanted_id"))
+    return maybe.join(wanted, id_of(maybe) == wanted[wanted.columns[0]], "left_semi")
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each doc_id: of rows that repeat one, that with the greatest
-    text. Rows without a doc_id stay as they are. Only repeated rows are moved."""
-    again = cut(docs.where(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].alias("doc_id")).count().where("count > 1").select("doc_id"))
+    text, and of such the one that comes last when written as JSON. Rows without a doc_id stay as they
+    are. Only repeated rows are moved, and each partition picks its own before that."""
+    known = docs.select(id_of(docs).alias("doc_id"))
+    again = cut(known.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return docs
-    place = "__place_among_rows"
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("text"), F.lit("")).desc(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    one = docs.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
+    wanted = again.toDF(fresh(docs, "again_id"))
+    at = wanted[wanted.columns[0]]
+    row = F.struct(*same_columns(docs))
+    best = F.max_by(row, F.struct(F.coalesce(docs["text"].cast("string"), F.lit("")), F.to_json(row)))
+    one = docs.join(wanted, id_of(docs) == at, "left_semi").groupBy(id_of(docs)).agg(best.alias("row")).select("row.*")
+    return docs.join(wanted, id_of(docs) == at, "left_anti").unionByName(one)
 
 
 def apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two parts: rows whose doc_id may be in ``ids``, and rows whose is not."""
-    test = may_be_in(ids)(docs["doc_id"])
+    test = may_be_in(ids)(id_of(docs))
     return docs.where(test), docs.where(~test)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id is not in ``ids``; rows without a doc_id stay."""
-    maybe, rest = apart(docs, ids)
-    return rest.unionByName(maybe.join(ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    """``docs`` whose doc_id is not in ``ids`` (distinct); rows without a doc_id stay. Only the rows that
+    the bitmap takes for others than they are pass a join: none of those to be left out is moved."""
+    inside = may_be_in(ids)
+    wrongly = cut(docs.select(id_of(docs).alias("doc_id")).where(inside(F.col("doc_id"))).join(ids.toDF("out_id"), F.col("doc_id") == F.col("out_id"), "left_anti").select("doc_id"))
+    out = docs.where(~inside(id_of(docs)))
+    if wrongly.isEmpty():
+        return out
+    outside = docs.where(inside(id_of(docs)) & may_be_in(wrongly)(id_of(docs)))
+    spared = ids.toDF(fresh(docs, "out_id"))
+    return out.unionByName(outside.join(spared, id_of(outside) == spared[spared.columns[0]], "left_anti"))

@@ -21,10 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Entries after which a block is closed.
-BLOCK = 1 << 20
-SCHEMA = "dest long, block long, kind int, a binary, b binary, c binary"
+from ._frames import lean, lean_group
+
+#: Entries after which a block is closed, at least; with many shards it holds ``EACH`` for each of them.
+BLOCK, EACH = 1 << 20, 32
+#: Bytes of the table for a shard, at most, by which the number of shards follows the input.
+SHARD_BYTES = 8 << 20
+SCHEMA = "dest long, block long, kind int, a binary, b binary, c binary, d binary"
 RUN, TABLE = 0, 1
 
 
@@ -48,20 +53,32 @@ def steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=np.uint64(0))
 
 
-def shards(df: DataFrame) -> int:
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def size_of(docs: DataFrame) -> int:
+    """Bytes of the table, as its files have them; of one without files, of its texts."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 56 else docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+
+
+def shards(docs: DataFrame) -> int:
+    """Twice the session's shuffle partitions, or more for a table that would make larger shards than ``SHARD_BYTES``."""
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(docs) // SHARD_BYTES))
+
+
+def block_size(n_shards: int) -> int:
+    return max(BLOCK, EACH * n_shards)
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    kinds = pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["dest", "block", "kind", "a", "b", "c"])
+    cols = list(zip(*rows)) if rows else [[]] * 7
+    kinds = pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["dest", "block", "kind", "a", "b", "c", "d"])
 
 
-def runs(block: int, ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, numbers: np.ndarray, extra: np.ndarray | None, n_shards: int) -> Iterator[pa.RecordBatch]:
+def runs(block: int, ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, numbers: np.ndarray, extra: np.ndarray | None, n_shards: int, of: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of a block: its table of documents, and a run for each shard. numbers: of the
-    entries, counted through the block's documents, of which each has ``counts`` positions."""
-    rows = [(block % n_shards, block, TABLE, np.asarray(ids, np.int64).tobytes(), np.asarray(counts, np.int64).tobytes(), None)]
+    entries, counted through the block's documents, of which each has ``counts`` positions. of: the ids of the entries'
+    documents, by which the first of equal entries is told; without, it is any."""
+    rows = [(block % n_shards, block, TABLE, np.asarray(ids, np.int64).tobytes(), np.asarray(counts, np.int64).tobytes(), None, None)]
     order = np.argsort(keys, kind="stable")
     keys, numbers = keys[order], numbers[order]
     shard = ((keys >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)
@@ -69,7 +86,8 @@ def runs(block: int, ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, numb
     for s in range(n_shards):
         lo, hi = at[s], at[s + 1]
         if lo < hi:
-            rows.append((s, block, RUN, pack(steps(keys[lo:hi])), pack(numbers[lo:hi]), pack(extra[order[lo:hi]]) if extra is not None else None))
+            more = (pack(x[order[lo:hi]].view(np.uint64)) if x is not None else None for x in (extra, of))
+            rows.append((s, block, RUN, pack(steps(keys[lo:hi])), pack(numbers[lo:hi]), *more))
     yield batch(rows)
 
 
@@ -79,6 +97,7 @@ class Writer:
 
     n_shards: int
     shift: int = 0
+    ordered: bool = False
     parts: list[tuple] = field(default_factory=list)
     size: int = 0
     seq: int = 0
@@ -87,7 +106,7 @@ class Writer:
         """numbers: of the entries, counted through these documents."""
         self.parts.append((ids, counts, keys, numbers, extra))
         self.size += len(keys)
-        if self.size >= BLOCK:
+        if self.size >= block_size(self.n_shards):
             yield from self.close()
 
     def close(self) -> Iterator[pa.RecordBatch]:
@@ -100,22 +119,24 @@ class Writer:
         ids, counts, keys = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1, 2))
         extra = np.concatenate([p[4] for p in self.parts]) if self.parts[0][4] is not None else None
         keys = (keys >> np.uint64(self.shift)) << np.uint64(self.shift) if self.shift else keys
-        yield from runs(TaskContext.get().partitionId() << 32 | self.seq, ids, counts, keys, np.concatenate(numbers), extra, self.n_shards)
+        numbers = np.concatenate(numbers)
+        of = ids[np.searchsorted(np.cumsum(counts), numbers.astype(np.int64), "right")] if self.ordered else None
+        yield from runs(TaskContext.get().partitionId() << 32 | self.seq, ids, counts, keys, numbers, extra, self.n_shards, of)
         self.parts, self.size, self.seq = [], 0, self.seq + 1
 
 
 def repeated(df: DataFrame) -> DataFrame:
     """Answers to the blocks: of each entry whose key (and extra key) occurs more than once, its
-    number (a), rank (b) and (c) twice the number of occurrences, plus one for the first of them.
-    Ranks follow the order of the keys, across all shards."""
+    number (a), rank (b) and (c) twice the number of occurrences, plus one for the first of them, in the order of the
+    documents' ids and their positions if the runs have those. Ranks follow the order of the keys, across all shards."""
 
     def merge(key, table):
         rows, tables = [], []
-        block, kind, a, b, c = (table.column(n).to_pylist() for n in ("block", "kind", "a", "b", "c"))
-        keys, numbers, extra, owner = [], [], [], []
+        block, kind, a, b, c, d = (table.column(n).to_pylist() for n in ("block", "kind", "a", "b", "c", "d"))
+        keys, numbers, extra, owner, of = [], [], [], [], []
         for i in np.argsort(np.array(block, np.int64), kind="stable"):
             if kind[i] == TABLE:
-                tables.append((block[i], block[i], TABLE, a[i], b[i], None))
+                tables.append((block[i], block[i], TABLE, a[i], b[i], None, None))
             else:
                 with np.errstate(over="ignore"):
                     keys.append(np.cumsum(unpack(a[i]), dtype=np.uint64))
@@ -123,16 +144,18 @@ def repeated(df: DataFrame) -> DataFrame:
                 owner.append(np.full(len(keys[-1]), i, np.int32))
                 if c[i] is not None:
                     extra.append(unpack(c[i]))
+                if d[i] is not None:
+                    of.append(unpack(d[i]).view(np.int64))
         if keys:
             keys, numbers, owner = np.concatenate(keys), np.concatenate(numbers), np.concatenate(owner)
             if extra:
                 extra = np.concatenate(extra)
-                order = np.lexsort((extra, keys))
+                order = np.lexsort((numbers, np.concatenate(of), extra, keys) if of else (extra, keys))
                 keys, extra = keys[order], extra[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = (keys[1:] != keys[:-1]) | (extra[1:] != extra[:-1])
             else:
-                order = np.argsort(keys, kind="stable")
+                order = np.lexsort((numbers, np.concatenate(of), keys)) if of else np.argsort(keys, kind="stable")
                 keys = keys[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = keys[1:] != keys[:-1]
@@ -149,10 +172,10 @@ def repeated(df: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(owner))):
                 k = block[owner[lo]]
-                rows.append((k, k, RUN, pack(steps(numbers[lo:hi])), pack(rank[lo:hi]), pack(info[lo:hi])))
+                rows.append((k, k, RUN, pack(steps(numbers[lo:hi])), pack(rank[lo:hi]), pack(info[lo:hi]), None))
         return pa.Table.from_batches([batch(tables + rows)])
 
-    return df.groupBy("dest").applyInArrow(merge, SCHEMA)
+    return df.groupBy("dest").applyInArrow(lean_group(merge), SCHEMA)
 
 
 @dataclass
@@ -195,15 +218,15 @@ def answered(df: DataFrame, use: Callable[[Answer], Iterator[pa.RecordBatch]], s
     from pyspark.sql.types import StructType
 
     empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    return df.groupBy("block").applyInArrow(solve, schema)
+    return df.groupBy("block").applyInArrow(lean_group(solve), schema)
 
 
-def windows(docs: DataFrame, k: int, n_shards: int, bits: int) -> DataFrame:
-    """Runs of the k-word windows of (doc_id, text), by the leading bits of their hashes."""
+def windows(docs: DataFrame, k: int, n_shards: int, bits: int, ordered: bool = False) -> DataFrame:
+    """Runs of the k-word windows of (doc_id, text), by the leading bits of their hashes; ordered: with their documents' ids."""
     from ._text import words_of
 
     def write(batches):
-        w = Writer(n_shards, 64 - bits)
+        w = Writer(n_shards, 64 - bits, ordered)
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, x in words_of(b.column("text")):
@@ -211,7 +234,7 @@ def windows(docs: DataFrame, k: int, n_shards: int, bits: int) -> DataFrame:
                 yield from w.add(ids[lo:hi], x.counts, x.gram_at(x.gram_sums(x.hashes()), at, k), at.astype(np.uint64))
         yield from w.close()
 
-    return docs.mapInArrow(write, SCHEMA)
+    return docs.mapInArrow(lean(write), SCHEMA)
 
 
 def spans_of(doc: np.ndarray, pos: np.ndarray, k: int, *most: np.ndarray) -> tuple[np.ndarray, ...]:

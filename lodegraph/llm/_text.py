@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 U = np.uint64
 
 #: Words end at white space only: the tokens of exact substring work.

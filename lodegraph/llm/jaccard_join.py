@@ -6,32 +6,36 @@ most ``size - ceil(t * size)`` grams of either set unshared, one gram more than
 shared one. Grams of the frequent class are not indexed singly. A prefix that reaches into
 them is extended, and combinations of two of its grams from one bucket of the class are
 indexed instead: with n_b grams of bucket b in the prefix, n_b - 1 of them count towards
-its length, so that either a rare gram or a pair from one bucket is shared for certain. A set
-too small to extend its prefix so far has all of its grams indexed, both singly and in combinations,
-so it meets sets of either sort. Single signatures are few for each gram, and combinations of frequent grams are rare again.
+its length, so that either a rare gram or a pair from one bucket is shared for certain. The number of
+buckets goes by the size of the set, in levels of factor ``STEP``, so that prefixes can be extended and
+combinations stay few at any size; a set near enough to the next level to be similar to sets of it is indexed for both.
+Only sets so small that one shared gram may be enough can't be extended so far in their own level;
+they, and sets that may be similar to them, have their frequent grams indexed singly too.
 
 The order comes from the corpus: partitions count their documents' grams in a fixed number of
-cells, the merged counts order the cells, and cells that stand out of the mean form the frequent
-class. Any order gives the same result; this one keeps the candidates few.
+cells, the merged counts order the cells, and cells that stand out of the mean, or hold more than ``FEW``, form the
+frequent class: so a single signature is shared by at most ``FEW`` documents in a corpus of any size.
+Any order gives the same result; this one keeps the candidates few.
 
 Documents with equal sets are grouped first (by 128 bits) and joined once, so a group of copies,
 however large, costs a line. Pairs that share too few prefix grams to reach t (an exact bound)
-are dropped. Where a signature is shared by many, as in large groups of near copies, its
-documents are kept as one list in place of their pairs, lists that mostly agree are merged, and
-the texts of a list are read once for all of its pairs, which one matrix product verifies. All
-candidates are verified on whole texts, and nothing is capped.
-
-Result of ``join``: a row for each set of n-grams that several documents have, or that is
-similar to another: ``doc_id``, the smallest of the documents that have it; ``copies``, all of
-those; ``near_ids``, the documents with different sets of similarity >= t; and ``nearest``, the
-greatest such similarity (null without any). Lists are sorted. ``keep_one`` keeps of each
-group that such rows connect the smallest doc_id.
+are dropped. Where a combination is shared by more than ``LONG``, as in large groups of near copies, its
+documents are kept as one list in place of their pairs. Pairs and lists are then gathered into bundles: each
+goes to the bundle of the least document that any of its members meets, so that a group of near copies is one bundle.
+The texts of a bundle are read once, and it counts all links within; a bundle of more than ``GRAMS`` grams
+is split, and each pair of its parts is a bundle. A link that several bundles hold is counted in the least. So no pair
+ever becomes a row after the candidates, nothing is capped, and all links are verified on whole texts.
+
+Result of ``join``: a row for each document that has copies or links: ``doc_id``, ``class_id``, the
+smallest document with the same set of grams, ``copies``, the number of those with itself, ``links``, the number of different
+sets of similarity >= t to its own, ``near_documents``, the number of documents that have those, and ``nearest``, the
+greatest such similarity (null without any). ``keep_one`` keeps of each group that copies and links connect the smallest doc_id.
 
 Defined cases. Texts that are null or have no word join nothing and stay. A text of one word has
 that word as its only gram. Rows without doc_id join nothing and stay; rows that repeat one are
-one document, with the greatest of their texts. Equal sets are told by their grams, so case,
-signs and repetitions make no difference. Other columns are kept and play no part. An empty
-table gives an empty result.
+one document, with the greatest of their texts. An id that is no integer counts as none. Equal sets are told by their
+grams, so case, signs and repetitions make no difference. Other columns, of any type and name, are kept and play no part. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,21 +45,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import cut, keyed, lean, one_row_each, only, without
-from ._runs import BLOCK, pack, shards, steps, unpack
+from ._frames import cut, keyed, lean, lean_group, may_be_in, one_row_each, without
+from ._runs import block_size, pack, shards, steps, unpack
 from ._text import Words, mix, words_of
 
 N, THRESHOLD = 2, 0.6
 CELLS = 22
+#: Most documents of a single signature, by the counts of the cells.
+FEW = 512
 #: Leading bits of the signatures by which they meet; what else meets by chance is told apart at the end.
 BITS = 52
-BUCKETS = 64
-#: Documents of one signature beyond which they are verified as a list, and of one such list at once.
-LONG, CHUNK = 64, 1024
+#: Factor between the levels of size by which the number of buckets goes.
+STEP = 4
+#: Documents of one combination beyond which they are a list, and of a list beyond which it is one for each pair of its parts.
+LONG, LONGEST = 32, 1 << 16
+#: Grams of the texts that are verified together.
+GRAMS = 1 << 21
 _EACH = 1 << 16
 
 
@@ -84,17 +92,36 @@ def _least(t: float, size: int) -> int:
     return math.ceil(t * size - 1e-9)
 
 
+def _level(size: int) -> int:
+    """The least size of the level that a set is of."""
+    low = 1
+    while size >= STEP * low:
+        low *= STEP
+    return low
+
+
+def _within(bucket: np.ndarray) -> np.ndarray:
+    """Of each entry, how many before it are in the same bucket."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    start = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    out = np.empty(len(bucket), np.int64)
+    out[order] = np.arange(len(bucket)) - np.repeat(start, np.diff(np.append(start, len(bucket))))
+    return out
+
+
 @dataclass
 class Order:
     level: np.ndarray  # of each cell
     frequent: np.ndarray
 
-    def signatures(self, s: np.ndarray, t: float) -> tuple[np.ndarray, int | None]:
-        """The signatures of a set, and, if combinations are among them, how many of its grams are frequent."""
+    def signatures(self, s: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, int | None]:
+        """The single and the combined signatures of a set, and, if there are any of the latter, how many of its grams are frequent."""
         need = len(s) - _least(t, len(s)) + 1
         cell = (s >> np.uint64(64 - CELLS)).astype(np.int64)
         often = self.frequent[cell]
         rare = s[~often]
+        none = np.zeros(0, np.uint64)
         if len(rare) > need:
             level = self.level[cell[~often]]
             part = np.argpartition(level, need - 1)[:need]
@@ -102,36 +129,37 @@ class Order:
             under = rare[level < edge]
             rare = np.concatenate([under, rare[level == edge][: need - len(under)]])
         if len(rare) == need:
-            return rare, None
+            return rare, none, None
         need -= len(rare)
         common = s[often]
-        order = np.lexsort((common, self.level[cell[often]]))
-        common = common[order]
-        bucket = (common & np.uint64(BUCKETS - 1)).astype(np.int64)
-        # A bucket's first gram in the prefix does not count; each further one does.
-        seen: set[int] = set()
-        size = 0
-        for size in range(1, len(common) + 1):
-            b = int(bucket[size - 1])
-            if b in seen:
-                need -= 1
-                if not need:
+        common = common[np.lexsort((common, self.level[cell[often]]))]
+        singles, combined = [rare], [none]
+        # A pair meets in the level of the larger set, which may be any from this one's own to that of size / t.
+        low, last = _level(len(s)), _level(int(len(s) / t + 1e-9))
+        while low <= last:
+            # Of each bucket one gram doesn't count: fewer than ceil(t * size) in all.
+            buckets = max(1, int(0.8 * t * low))
+            bucket = ((common >> np.uint64(4)) % np.uint64(buckets)).astype(np.int64)
+            counted = np.cumsum(_within(bucket) > 0) if len(common) else np.zeros(0, np.int64)
+            size = int(np.searchsorted(counted, need)) + 1
+            if size > len(common):
+                # Too few to extend to: all combinations, as sets of the level itself are extended; but for those so small
+                # that one gram shared is enough. Those have no combinations, and meet sets like this by single grams.
+                if t * low <= 1:
+                    singles.append(common)
+                size = len(common)
+            order = np.argsort(bucket[:size], kind="stable")
+            x, b, lag = common[:size][order], bucket[:size][order], 1
+            while lag < size:
+                i = np.flatnonzero(b[lag:] == b[:-lag])
+                if not len(i):
                     break
-            seen.add(b)
-        out = [rare]
-        if need > 0:
-            # Too few to extend to: all frequent grams are indexed singly, for others like this, and
-            # in all their combinations, for those that could be extended and have nothing else.
-            out.append(common)
-        else:
-            common, bucket = common[:size], bucket[:size]
-        for b in np.unique(bucket):
-            x = common[bucket == b]
-            i, j = np.triu_indices(len(x), 1)
-            lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
-            with np.errstate(over="ignore"):
-                out.append(mix(lo * np.uint64(0xA0761D6478BD642F) + hi))
-        return np.concatenate(out), int(often.sum())
+                with np.errstate(over="ignore"):
+                    combined.append(mix(np.minimum(x[i], x[i + lag]) * np.uint64(0xA0761D6478BD642F + 2 * low) + np.maximum(x[i], x[i + lag])))
+                lag += 1
+            low *= STEP
+        singles = np.concatenate(singles) if len(singles) < 3 else np.unique(np.concatenate(singles))
+        return singles, np.concatenate(combined), int(often.sum())
 
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
@@ -140,11 +168,11 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
     slices = 1 << (CELLS - 16)
 
     def scan(batches):
-        counts = np.zeros(1 << CELLS, np.int64)
+        counts = np.zeros(1 << CELLS, np.int32)
         for b in batches:
             for lo, hi, x in words_of(b.column("text")):
                 sets = gram_sets(x, n)
-                every = np.concatenate(sets)
+                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 cells, many = np.unique((every >> np.uint64(64 - CELLS)).astype(np.int32), return_counts=True)
                 counts[cells] += many
                 size = np.array([len(s) for s in sets])
@@ -158,7 +186,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
                     m = len(k)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.binary()), ids, pa.array(size[k].astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names)
         m = slices
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array([pack(counts[i * _EACH : (i + 1) * _EACH].view(np.uint64)) for i in range(m)], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array([pack(counts[i * _EACH : (i + 1) * _EACH].astype(np.uint64)) for i in range(m)], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
 
     names = ["kind", "slice", "counts", "doc_id", "size", "d1", "d2"]
     return docs.mapInArrow(lean(scan), "kind int, slice int, counts binary, doc_id long, size int, d1 long, d2 long")
@@ -171,33 +199,36 @@ def order_of(surveyed: DataFrame) -> Order:
             total += unpack(c)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([pack(total)], pa.binary())})
 
-    got = surveyed.where("kind = 0").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow()
+    got = surveyed.where("kind = 0").select("slice", "counts").groupBy("slice").applyInArrow(lean_group(add), "slice int, counts binary").toArrow()
     counts = np.zeros(1 << CELLS, np.int64)
     for i, c in zip(got.column("slice").to_pylist(), got.column("counts").to_pylist()):
         counts[i * _EACH : (i + 1) * _EACH] = unpack(c).astype(np.int64)
     mean = counts.mean()
     level = np.minimum(255, 12 * np.log2(1 + counts)).astype(np.uint8)
-    return Order(level, counts - mean > max(64.0, 6 * math.sqrt(mean)))
+    return Order(level, counts > min(FEW, mean + max(64.0, 6 * math.sqrt(mean))))
 
 
-def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
-    """Bundles of documents to verify. In one with ``every``, all members share signatures and
-    each pair is to be verified; in the others, the first member with each of the rest."""
-    held = docs.sparkSession.sparkContext.broadcast(order)
+def _shard(ids: np.ndarray, n: int) -> np.ndarray:
+    return (((mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
 
-    n_shards = shards(docs)
+def candidates(docs: DataFrame, order: Order, n: int, t: float, n_shards: int) -> DataFrame:
+    """Rows of documents (members, the least first) of which some pairs are to be verified: in a list any
+    two, else the first one with each of the rest."""
+    held = docs.sparkSession.sparkContext.broadcast(order)
+    n_heads = max(1, n_shards // 8)
 
     def sign(batches):
-        """Signatures, by shard, as packed runs: their sorted leading bits, and for each the place of its
+        """Signatures, by shard, as packed runs: their sorted leading bits (and whether combined), and for each the place of its
         document among those of the run, which come with their sizes."""
         sigs, place, ids, size = [], [], [], []
 
         def flush():
-            sig, doc = np.concatenate(sigs) >> np.uint64(64 - BITS), np.concatenate(place)
+            sig, doc = np.concatenate(sigs), np.concatenate(place)
             every, sizes = np.array(ids), np.array(size)
             order = np.argsort(sig, kind="stable")
             sig, doc = sig[order], doc[order]
-            shard = ((sig >> np.uint64(BITS - 32)) * np.uint64(n_shards)) >> np.uint64(32)
+            shard = ((sig >> np.uint64(BITS - 31)) * np.uint64(n_shards)) >> np.uint64(32)
             at = np.searchsorted(shard, np.arange(n_shards + 1))
             rows = []
             for s in range(n_shards):
@@ -220,27 +251,55 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
             for lo, hi, x in words_of(b.column("text")):
                 for r, s in enumerate(gram_sets(x, n)):
                     if len(s):
-                        v, common = held.value.signatures(s, t)
-                        sigs.append(v)
-                        place.append(np.full(len(v), len(ids), np.int64))
-                        ids.append(of[lo + r])
-                        size.append(2 * len(s) if common is None else common << 32 | 2 * len(s) + 1)
-                        held_back += len(v)
-                if held_back >= BLOCK:
+                        single, combined, common = held.value.signatures(s, t)
+                        v = np.concatenate([single >> np.uint64(64 - BITS) << np.uint64(1), (combined >> np.uint64(64 - BITS) << np.uint64(1)) | np.uint64(1)])
+                        if len(v):
+                            sigs.append(v)
+                            place.append(np.full(len(v), len(ids), np.int64))
+                            ids.append(of[lo + r])
+                            size.append(2 * len(s) if common is None else common << 32 | 2 * len(s) + 1)
+                            held_back += len(v)
+                if held_back >= block_size(n_shards):
                     yield from flush()
                     held_back = 0
         if sigs:
             yield from flush()
 
-    names = ["a", "b", "size_a", "size_b", "n", "members", "common"]
-    kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()])))
+    names = ["dest", "a", "b", "n", "need", "members"]
+    kinds = pa.schema(list(zip(names, [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64())])))
 
     def pair(key, table):
-        return pa.Table.from_batches([b.cast(kinds) for b in paired(table)], kinds)
+        return pa.Table.from_batches(list(paired(table)), kinds)
+
+    def few(found, single, ids, by, common):
+        """Runs of pairs, by their first members, with the number of single signatures they share here and of those they need."""
+        keys, ones = np.concatenate(found), np.concatenate(single)
+        o = np.argsort(keys, kind="stable")
+        keys = keys[o]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        cnt, keys = np.add.reduceat(ones[o].astype(np.int64), new), keys[new]
+        lo, hi = keys // len(ids), keys % len(ids)
+        sa, sb, shared = by[lo], by[hi], np.minimum(common[lo], common[hi])
+        least = np.ceil((np.abs(sa) + np.abs(sb)) * (t / (1 + t)) - 1e-9)
+        behind = lambda size: np.ceil(np.abs(size) * t - 1e-9) - 1
+        # What may be shared beyond the single signatures: grams behind the prefix that ends first, or of the
+        # one that has no combinations, or, as all of both's rare grams are signatures, frequent ones.
+        beyond = np.where((sa < 0) & (sb < 0), shared, np.where(sa < 0, behind(sb), np.where(sb < 0, behind(sa), np.maximum(behind(sa), behind(sb)))))
+        need = np.maximum(least - beyond, 0).astype(np.uint64)
+        dest = _shard(ids, n_heads)[lo]
+        o = np.lexsort((hi, lo, dest))
+        dest, lo, hi, cnt, need = dest[o], lo[o], hi[o], cnt[o].astype(np.uint64), need[o]
+        cuts = np.append(np.flatnonzero(np.diff(dest, prepend=-1)), len(dest))
+        rows = []
+        with np.errstate(over="ignore"):
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                a, b = ids[lo[i:j]].view(np.uint64), ids[hi[i:j]].view(np.uint64)
+                first = np.append(True, a[1:] != a[:-1])
+                rows.append((int(dest[i]), pack(steps(a)), pack(np.where(first, b - a, np.diff(b, prepend=b[:1]))), pack(cnt[i:j]), pack(need[i:j]), None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], names)
 
     def paired(table):
-        """Documents that share a signature: up to ``LONG`` as pairs with the number of
-        signatures they share here, more as one list, by its least member."""
+        """Documents that share a signature: as pairs, or where many share one as lists."""
         parts = []
         with np.errstate(over="ignore"):
             for keys, docs_, ids_, sizes_ in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "ids", "sizes"))):
@@ -259,24 +318,25 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
             return
         start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         many = np.diff(np.append(start, len(sig)))
-        lists = [np.unique(doc[i : i + m]) for i, m in zip(start[many > LONG], many[many > LONG])]
+        long = many > np.where(sig[start] & np.uint64(1), LONG, FEW)
+        lists = [x for i, m in zip(start[long], many[long]) for x in _halved(np.unique(doc[i : i + m]), LONGEST)]
         for i in range(0, len(lists), 256):
             part = lists[i : i + 256]
             k = len(part)
-            heads = pa.array([int(x[0]) for x in part], pa.int64())
             whole = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in part]), pa.int32()), pa.array(np.concatenate(part)))
-            yield pa.RecordBatch.from_arrays([heads, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), whole, pa.nulls(k, pa.int32())], names)
-        few = np.repeat(many <= LONG, many)
-        doc, size, sig = doc[few], size[few], sig[few]
+            dest = _shard(np.array([x[0] for x in part], np.int64), n_heads)
+            yield pa.RecordBatch.from_arrays([pa.array(dest), *[pa.nulls(k, pa.binary())] * 4, whole], names)
+        short = np.repeat(~long, many)
+        doc, size, sig = doc[short], size[short], sig[short]
         if not len(doc):
             return
         ids, place = np.unique(doc, return_inverse=True)
-        by, common = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+        by, common = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         common[place] = size >> 32
         size = size & 0xFFFFFFFF
         by[place] = np.where(size & 1, -(size >> 1), size >> 1)
-        n_ids = np.int64(len(ids))
-        live, lag, found = np.arange(len(doc)), 1, []
+        single = (sig & np.uint64(1)) == 0
+        live, lag, found, ones, held_back = np.arange(len(doc)), 1, [], [], 0
         while True:
             live = live[live + lag < len(doc)]
             live = live[sig[live] == sig[live + lag]]
@@ -285,164 +345,232 @@ def candidates(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
             lo, hi = np.minimum(place[live], place[live + lag]), np.maximum(place[live], place[live + lag])
             sa, sb = np.abs(by[lo]), np.abs(by[hi])
             ok = (lo != hi) & (np.minimum(sa, sb) >= t * np.maximum(sa, sb) - 1e-9)
-            found.append(lo[ok] * n_ids + hi[ok])
+            found.append(lo[ok] * np.int64(len(ids)) + hi[ok])
+            ones.append(single[live][ok])
+            held_back += int(ok.sum())
+            if held_back > 1 << 22:
+                yield from few(found, ones, ids, by, common)
+                found, ones, held_back = [], [], 0
             lag += 1
-        keys, cnt = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        lo, hi = keys // n_ids, keys % n_ids
-        for i in range(0, len(keys), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            k = len(keys[s])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo[s]]), pa.array(ids[hi[s]]), pa.array(by[lo[s]].astype(np.int32)), pa.array(by[hi[s]].astype(np.int32)), pa.array(cnt[s]), pa.nulls(k, pa.list_(pa.int64())), pa.array(np.minimum(common[lo[s]], common[hi[s]]))], names)
-
-    def settle(batches):
+        if held_back:
+            yield from few(found, ones, ids, by, common)
+
+    def settle(key, table):
+        return pa.Table.from_batches(list(settled(table)), pa.schema([("members", pa.list_(pa.int64()))]))
+
+    def settled(table):
         """Adds up the pairs' signatures and drops pairs with too few for what they must share. Merges lists
         with one least member that overlap for the most part."""
-        tables = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if tables is None:
-            return
-        pairs = tables.filter(pa.compute.is_null(tables.column("members")))
-        if len(pairs):
-            a, b, sa, sb, cnt, common = (pairs.column(c).to_numpy() for c in (*names[:5], "common"))
+        parts, lists = [], []
+        with np.errstate(over="ignore"):
+            for a, b, cnt, need, members in zip(*(table.column(c).to_pylist() for c in names[1:5]), table.column("members")):
+                if a is None:
+                    lists.append(members.values.to_numpy())
+                    continue
+                a, b = np.cumsum(unpack(a), dtype=np.uint64), np.cumsum(unpack(b), dtype=np.uint64)
+                first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                before = np.where(first > 0, b[first - 1], np.uint64(0))
+                b = a + b - np.repeat(before, np.diff(np.append(first, len(a))))
+                parts.append((a.view(np.int64), b.view(np.int64), unpack(cnt).astype(np.int64), unpack(need).astype(np.int64)))
+        if parts:
+            a, b, cnt, need = (np.concatenate(c) for c in zip(*parts))
             o = np.lexsort((b, a))
-            a, b, sa, sb, cnt, common = a[o], b[o], sa[o].astype(np.int64), sb[o].astype(np.int64), cnt[o], common[o]
+            a, b, cnt, need = a[o], b[o], cnt[o], need[o]
             new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            cnt, a, b, sa, sb, common = np.add.reduceat(cnt, new), a[new], b[new], sa[new], sb[new], common[new]
-            least = np.ceil((np.abs(sa) + np.abs(sb)) * (t / (1 + t)) - 1e-9)
-            behind = lambda size: np.ceil(np.abs(size) * t - 1e-9) - 1
-            # What may be shared beyond the shared signatures: grams behind the prefix that ends first, or of the
-            # one that has no combinations, or, as all of both's rare grams are signatures, frequent ones.
-            beyond = np.where((sa < 0) & (sb < 0), common, np.where(sa < 0, behind(sb), np.where(sb < 0, behind(sa), np.maximum(behind(sa), behind(sb)))))
-            ok = cnt + beyond >= least
-            a, b = a[ok], b[ok]
+            ok = np.add.reduceat(cnt, new) >= need[new]
+            a, b = a[new][ok], b[new][ok]
             if len(a):
                 new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
                 flat = np.insert(b, new, a[new])
                 offsets = np.append(new + np.arange(len(new)), len(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), bool)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["every", "members"])
-        lists = tables.filter(pa.compute.is_valid(tables.column("members"))).sort_by("a")
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["members"])
+        lists.sort(key=lambda x: int(x[0]))
         last, merged = None, []
-        for head, members in zip(lists.column("a").to_pylist() if len(lists) else [], (x.values.to_numpy() for x in lists.column("members"))):
-            if head != last:
-                yield from _every(merged)
-                last, merged = head, []
+
+        def rows():
+            if merged:
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in merged]), pa.int32()), pa.array(np.concatenate(merged)))], ["members"])
+
+        for members in lists:
+            if members[0] != last:
+                yield from rows()
+                last, merged = members[0], []
             for i, m in enumerate(merged):
-                if 2 * len(np.intersect1d(m, members, assume_unique=True)) > len(members):
+                if len(m) <= LONGEST and 2 * len(np.intersect1d(m, members, assume_unique=True)) > len(members):
                     merged[i] = np.union1d(m, members)
                     break
             else:
                 merged.append(members)
-        yield from _every(merged)
+        yield from rows()
 
     packed = docs.mapInArrow(lean(sign), "dest long, keys binary, docs binary, ids binary, sizes binary")
-    shared = packed.groupBy("dest").applyInArrow(pair, "a long, b long, size_a int, size_b int, n long, members array<long>, common int")
-    return shared.repartition("a").mapInArrow(lean(settle), "every boolean, members array<long>")
-
-
-def _every(lists: list[np.ndarray]):
-    """Lists as bundles; one of over ``CHUNK`` members as all pairs of its halved chunks."""
-    out = []
-    for m in lists:
-        if len(m) <= CHUNK:
-            out.append(m)
-        else:
-            parts = np.array_split(m, -(-2 * len(m) // CHUNK))
-            out.extend(np.concatenate([parts[i], parts[j]]) for i in range(len(parts)) for j in range(i + 1, len(parts)))
-    if out:
-        offsets = pa.array(np.cumsum([0] + [len(x) for x in out]), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), bool)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))], ["every", "members"])
-
-
-def _similar(sets: list[np.ndarray], t: float):
-    """(i, j, similarity) of all pairs that reach t. Grams that one set alone has are only counted."""
-    size = np.array([len(s) for s in sets])
-    grams, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    wide = count > 1
-    column = np.cumsum(wide) - 1
-    ok = wide[place]
-    owner, column, width = owner[ok], column[place[ok]], int(wide.sum())
-    step = max(16, min(len(sets), (8 << 20) // (max(width, 1) * 4)))
-    at = np.searchsorted(owner, np.arange(0, len(sets) + step, step))
-
-    def block(k: int) -> np.ndarray:
-        x = np.zeros((min(step, len(sets) - k * step), max(width, 1)), np.float32)
-        x[owner[at[k] : at[k + 1]] - k * step, column[at[k] : at[k + 1]]] = 1
-        return x
-
-    for p in range(-(-len(sets) // step)):
-        left = block(p)
-        for q in range(p, -(-len(sets) // step)):
-            both = (left @ (left if q == p else block(q)).T).astype(np.int64)
-            i, j = p * step, q * step
-            union = size[i : i + len(both), None] + size[None, j : j + both.shape[1]] - both
-            x, y = np.nonzero((both >= t * union - 1e-9) & (union > 0))
-            sim = both[x, y] / union[x, y]
-            x, y = x + i, y + j
-            ok = x < y
-            yield x[ok], y[ok], sim[ok]
-
-
-def verified(docs: DataFrame, bundles: DataFrame, n: int, t: float) -> DataFrame:
-    """Pairs a < b of documents, and their similarity of at least t, from whole texts."""
+    shared = packed.groupBy("dest").applyInArrow(lean_group(pair), "dest long, a binary, b binary, n binary, need binary, members array<long>")
+    return shared.groupBy("dest").applyInArrow(lean_group(settle), "members array<long>")
+
+
+def _halved(m: np.ndarray, most: int) -> list[np.ndarray]:
+    """A list, or of one of more members than that each pair of its parts."""
+    if len(m) <= most:
+        return [m]
+    parts = np.array_split(m, -(-2 * len(m) // most))
+    return [np.concatenate([parts[i], parts[j]]) for i in range(len(parts)) for j in range(i + 1, len(parts))]
+
+
+def bundles(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows: members. reps: doc_id, size, copies of one document for each set. Of each document and bundle that it is verified in: bundle,
+    doc_id, copies, homes (all its bundles, if several), the two parts p and q that meet in this one, own, that which it is of, and parts."""
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "members"))
+    each = rows.select("row", F.col("members")[0].alias("head"), F.explode("members").alias("member"))
+    label = each.groupBy("member").agg(F.min("head").alias("label"))
+    of_row = each.select("row", "member").join(label, "member").groupBy("row").agg(F.min("label").alias("bundle"))
+    homes = each.select("row", "member").join(of_row, "row").groupBy("member").agg(F.sort_array(F.collect_set("bundle")).alias("homes"))
+    known = cut(homes.join(reps, F.col("member") == F.col("doc_id")).select("doc_id", "size", "copies", F.when(F.size("homes") > 1, F.col("homes")).alias("homes"), F.explode("homes").alias("bundle")))
+    parts = known.groupBy("bundle").agg(F.sum("size").alias("grams"), F.count("*").alias("docs")).where("docs > 1")
+    parts = parts.select(F.col("bundle").alias("of"), F.when(F.col("grams") > GRAMS, F.ceil(2 * F.col("grams") / GRAMS)).otherwise(1).cast("int").alias("parts"))
+    split = known.join(parts, F.col("bundle") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    other = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))).otherwise(F.array(F.lit(0)))
+    return split.withColumn("other", F.explode(other)).select("bundle", "doc_id", "copies", "homes", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "parts")
+
+
+class Bundle:
+    """The sets of one bundle, and its links."""
+
+    def __init__(self, bundle: int, parts: int, p: int, q: int) -> None:
+        self.bundle, self.parts, self.p, self.q = bundle, parts, p, q
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.copies: list[int] = []
+        self.own: list[int] = []
+        self.homes: list[list[int] | None] = []
+
+    def _overlaps(self):
+        """Of each set but the first, its place and the grams it shares with each of those before it."""
+        size = [len(s) for s in self.sets]
+        _, place, count = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        ends = np.cumsum(size)
+        if len(size) <= 64:
+            wide = count > 1
+            column = np.cumsum(wide) - 1
+            owner = np.repeat(np.arange(len(size)), size)
+            ok = wide[place]
+            if len(size) * int(wide.sum()) <= 1 << 22:
+                x = np.zeros((len(size), max(1, int(wide.sum()))), np.float32)
+                x[owner[ok], column[place[ok]]] = 1
+                both = np.rint(x @ x.T).astype(np.int64)
+                yield from ((i, both[i, :i]) for i in range(1, len(size)))
+                return
+        owner = np.repeat(np.arange(len(size)), size)[np.argsort(place, kind="stable")]
+        starts = np.cumsum(count) - count
+        for i in range(1, len(size)):
+            grams = place[ends[i] - size[i] : ends[i]]
+            grams = grams[count[grams] > 1]
+            many = count[grams]
+            at = np.repeat(starts[grams] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            yield i, np.bincount(owner[at], minlength=len(size))[:i]
+
+    def _elsewhere(self) -> np.ndarray | None:
+        """Bits of the lesser bundles that several of the members share: a link within one of those is counted there."""
+        lesser: dict[int, int] = {}
+        for h in self.homes:
+            for x in h or ():
+                if x < self.bundle:
+                    lesser[x] = lesser.get(x, 0) + 1
+        place = {x: i for i, x in enumerate(k for k, n in lesser.items() if n > 1)}
+        if not place:
+            return None
+        bits = np.zeros((len(self.ids), -(-len(place) // 64)), np.uint64)
+        for r, h in enumerate(self.homes):
+            for x in h or ():
+                if x in place:
+                    bits[r, place[x] >> 6] |= np.uint64(1 << (place[x] & 63))
+        return bits
+
+    def links(self, t: float):
+        """(document, links, near documents, greatest similarity, least document connected with it here) of those with links."""
+        m = len(self.ids)
+        if m < 2:
+            return []
+        size, copies, own = np.array([len(s) for s in self.sets]), np.array(self.copies), np.array(self.own)
+        elsewhere = self._elsewhere()
+        # Members of one part meet in all bundles of that part; their links are counted in one of them.
+        twice = [o for o in ({self.p, self.q} if self.parts > 1 else ()) if not (o == self.p and self.q == o + 1 or o == self.q == self.parts - 1 and self.p == o - 1)]
+        links, near, nearest, root = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.array(self.ids, np.int64)
+        for i, both in self._overlaps():
+            union = size[i] + size[:i] - both
+            ok = (both >= t * union - 1e-9) & (union > 0)
+            if own[i] in twice:
+                ok &= own[:i] != own[i]
+            j = np.flatnonzero(ok)
+            if len(j) and elsewhere is not None and elsewhere[i].any():
+                j = j[~(elsewhere[j] & elsewhere[i]).any(1)]
+            if not len(j):
+                continue
+            similar = both[j] / union[j]
+            links[i] += len(j)
+            links[j] += 1
+            near[i] += copies[j].sum()
+            near[j] += copies[i]
+            nearest[i] = max(nearest[i], similar.max())
+            nearest[j] = np.maximum(nearest[j], similar)
+            old = np.unique(np.append(root[j], root[i]))
+            if len(old) > 1:
+                root[np.isin(root, old)] = old[0]
+        some = np.flatnonzero(links)
+        ids = np.array(self.ids, np.int64)
+        return list(zip(ids[some].tolist(), links[some].tolist(), near[some].tolist(), nearest[some].tolist(), root[some].tolist()))
+
+
+def verified(docs: DataFrame, members: DataFrame, n: int, t: float) -> DataFrame:
+    """doc_id, links, near, nearest and root (the least document that links connect it with) by bundle, from whole texts."""
+    names = ["doc_id", "links", "near", "nearest", "root"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
 
     def check(batches):
-        last, every, ids, sets = None, False, [], []
-
-        def flush():
-            a, b, sim = [], [], []
-            if every:
-                for x, y, v in _similar(sets, t):
-                    a.append(np.array(ids)[x]), b.append(np.array(ids)[y]), sim.append(v)
-            else:
-                head = int(np.argmin(ids))
-                for i, other in enumerate(sets):
-                    o = len(np.intersect1d(sets[head], other, assume_unique=True))
-                    u = len(sets[head]) + len(other) - o
-                    if i != head and u and o >= t * u - 1e-9:
-                        a.append([ids[head]]), b.append([ids[i]]), sim.append([o / u])
-            if a:
-                a, b, sim = np.concatenate(a), np.concatenate(b), np.concatenate(sim)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim)], ["a", "b", "jaccard"])
-
+        last, held, out = None, None, []
         for b in batches:
-            bundle, whole, doc = b.column("bundle").to_pylist(), b.column("every").to_pylist(), b.column("doc_id").to_pylist()
+            of = b.select(["bundle", "parts", "p", "q"]).to_pylist()
+            doc, copies, own, homes = (b.column(c).to_pylist() for c in ("doc_id", "copies", "own", "homes"))
             for lo, _, x in words_of(b.column("text")):
-                for r, s in enumerate(gram_sets(x, n)):
-                    if bundle[lo + r] != last:
-                        if ids:
-                            yield from flush()
-                        last, every, ids, sets = bundle[lo + r], whole[lo + r], [], []
-                    ids.append(doc[lo + r])
-                    sets.append(s)
-        if ids:
-            yield from flush()
-
-    members = bundles.select(F.monotonically_increasing_id().alias("bundle"), "every", "members")
-    members = cut(members.select("bundle", "every", F.explode("members").alias("member")))
-    text = only(docs, members.select(F.col("member").alias("doc_id")).distinct())
-    full = members.join(text, members["member"] == text["doc_id"]).select("bundle", "every", "doc_id", "text")
-    return full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(lean(check), "a long, b long, jaccard double").dropDuplicates(["a", "b"])
+                for r, s in enumerate(gram_sets(x, n), lo):
+                    if of[r] != last:
+                        out += held.links(t) if held else []
+                        last, held = of[r], Bundle(**of[r])
+                    held.ids.append(doc[r]), held.sets.append(s), held.copies.append(copies[r]), held.own.append(own[r]), held.homes.append(homes[r])
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
+        out += held.links(t) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    members = cut(members).withColumnRenamed("doc_id", "member")
+    may_be = may_be_in(members.select("member").distinct())
+    text = docs.where(may_be(docs["doc_id"]))
+    full = members.join(text, members["member"] == text["doc_id"]).select("bundle", "p", "q", "parts", "own", "doc_id", "copies", "homes", "text")
+    at = ["bundle", "p", "q"]
+    return full.repartition(*at).sortWithinPartitions(*at).mapInArrow(lean(check), "doc_id long, links long, near long, nearest double, root long")
 
 
 def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal sets (doc_id, members), of two and more, and verified pairs (a, b, jaccard)."""
-    base = keyed(docs)
+    """Documents of sets that several have (doc_id, class_id, copies), and the links of class representatives, by bundle."""
+    base, n_shards = keyed(docs), shards(docs)
     surveyed = cut(survey(base, n))
     order = order_of(surveyed)
-    groups = cut(surveyed.where("kind = 1").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_list("doc_id")).alias("members")).where(F.size("members") > 1).select("doc_id", "members"))
-    spare = groups.select(F.explode(F.slice("members", 2, F.size("members"))).alias("doc_id"))
-    alone = without(base, spare)
-    return groups, cut(verified(alone, candidates(alone, order, n, t), n, t))
+    key = ["size", "d1", "d2"]
+    sets = surveyed.where("kind = 1").select("doc_id", *key)
+    classes = cut(sets.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
+    copied = cut(sets.join(classes.where("copies > 1"), key).select("doc_id", "class_id", "copies"))
+    alone = without(base, copied.where("doc_id <> class_id").select("doc_id"))
+    members = bundles(candidates(alone, order, n, t, n_shards), classes.select(F.col("class_id").alias("doc_id"), "size", "copies"))
+    return copied, cut(verified(base, members, n, t))
 
 
 def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    groups, pairs = _joined(docs, n, t)
-    both = pairs.union(pairs.select("b", "a", "jaccard")).toDF("doc_id", "near", "jaccard")
-    others = both.join(groups.toDF("near", "near_members"), "near", "left")
-    near = others.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(F.coalesce("near_members", F.array("near"))))).alias("near_ids"), F.max("jaccard").alias("nearest"))
-    out = groups.toDF("doc_id", "members").join(near, "doc_id", "full")
-    return out.select("doc_id", F.coalesce("members", F.array("doc_id")).alias("copies"), F.coalesce("near_ids", F.array().cast("array<long>")).alias("near_ids"), "nearest")
+    copied, found = _joined(docs, n, t)
+    linked = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.sum("near").alias("near_documents"), F.max("nearest").alias("nearest")).withColumnRenamed("doc_id", "linked")
+    rest = linked.join(copied.where("doc_id = class_id"), F.col("linked") == F.col("class_id"), "left_anti").select(F.col("linked").alias("doc_id"), F.col("linked").alias("class_id"), F.lit(1).cast("long").alias("copies"))
+    out = copied.unionByName(rest).join(linked, F.col("class_id") == F.col("linked"), "left")
+    return out.select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near_documents", F.lit(0)).alias("near_documents"), "nearest")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -450,6 +578,7 @@ def components(edges: DataFrame) -> DataFrame:
     large-star and small-star steps, which keep connectivity and halve the distances, until
     every edge points at a root."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now = _sign(edges)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -458,14 +587,18 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = cut(small)
-        done = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
-        edges = small
-        if done:
+        edges, before, now = small, now, _sign(small)
+        if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _sign(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of hashes: other edges have another one (but for a chance of 2**-60)."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
+
+
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     docs = one_row_each(docs)
-    groups, pairs = _joined(docs, n, t)
-    edges = pairs.select("a", "b").union(groups.select(F.col("doc_id").alias("a"), F.explode("members").alias("b")))
-    return without(docs, components(edges).select(F.col("node").alias("doc_id")))
+    copied, found = _joined(docs, n, t)
+    drop = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("doc_id"))
+    return without(docs, cut(drop.union(copied.where("doc_id <> class_id").select("doc_id"))))

@@ -22,13 +22,14 @@ SELECT doc_id, CAST(min(i) AS BIGINT) AS start_word, CAST(max(i) + 50 AS BIGINT)
 JACCARD = f"""
 WITH {DOCUMENTS},
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
-s AS (SELECT g, list_sort(list(doc_id)) AS ids, min(doc_id) AS id, len(g) AS n FROM g GROUP BY g),
-e AS (SELECT id, n, ids, unnest(g) AS t FROM s),
-p AS (SELECT a.id AS a, b.id AS b, any_value(a.ids) AS ia, any_value(b.ids) AS ib, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
+s AS (SELECT g, min(doc_id) AS id, count(*) AS copies, len(g) AS n FROM g GROUP BY g),
+e AS (SELECT id, n, copies, unnest(g) AS t FROM s),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.copies) AS ca, any_value(b.copies) AS cb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
       FROM e a JOIN e b ON a.t = b.t AND a.id < b.id AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY 1, 2),
 q AS (SELECT *, o / (na + nb - o) AS j FROM p WHERE o >= 0.6 * (na + nb - o) - 1e-9),
-m AS (SELECT id, list_sort(flatten(list(ids))) AS near_ids, max(j) AS nearest FROM (SELECT a AS id, ib AS ids, j FROM q UNION ALL SELECT b, ia, j FROM q) GROUP BY id)
-SELECT s.id AS doc_id, s.ids AS copies, coalesce(near_ids, CAST([] AS BIGINT[])) AS near_ids, nearest FROM s LEFT JOIN m ON s.id = m.id WHERE len(s.ids) > 1 OR m.id IS NOT NULL
+m AS (SELECT id, count(*) AS links, sum(other) AS near, max(j) AS nearest FROM (SELECT a AS id, cb AS other, j FROM q UNION ALL SELECT b, ca, j FROM q) GROUP BY id)
+SELECT g.doc_id, s.id AS class_id, s.copies, coalesce(links, 0) AS links, CAST(coalesce(near, 0) AS BIGINT) AS near_documents, nearest
+FROM g JOIN s USING (g) LEFT JOIN m ON s.id = m.id WHERE s.copies > 1 OR links > 0
 """
 
 
