@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 import ipaddress
 import re
 import socket
@@ -17,16 +19,31 @@ from ..operators.graph import written
 from .bundle import decoded, files
 
 SUFFIXES = (".md", ".markdown", ".txt", ".html", ".htm", ".rst")
-SCHEMA = "uid string, origin string, location string, title string, text string, slug string, media_type string, author string, last_modified string, byte_len long, links array<string>"
+SCHEMA = (
+    "uid string, origin string, location string, title string, text string, slug string, media_type string, author string, last_modified string, retrieved_at string, sha256 string, byte_len long, "
+    "links array<string>"
+)
 
 
 class FetchError(ValueError):
     """A URL that may not be read."""
 
 
+_COLUMNS = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+
+
+def row_of(origin: str, location: str, title: str, text: str, slug: str, media: str, author: str | None, modified: str | None, content: bytes, links: list[str]) -> tuple:
+    now = dt.datetime.now(dt.UTC).isoformat(timespec="seconds")
+    return (f"{origin}:{location}", origin, location, title, text, slug, media, author, modified, now, hashlib.sha256(content).hexdigest(), len(content), links)
+
+
 def document(location: str, content: bytes, modified: str | None = None, origin: str = "file") -> tuple:
     """A document's record, by the suffix of its name."""
     stem, _, suffix = location.rpartition("/")[2].rpartition(".")
+    if suffix.lower() == "pdf":
+        from .web import pdf_text
+
+        return row_of(origin, location, stem or location, pdf_text(content), R.slug(stem), "application/pdf", None, modified, content, [])
     text = decoded(content)
     if suffix.lower() in ("html", "htm") or origin == "web":
         title, body, meta = R.html_to_markdown(text)
@@ -39,11 +56,12 @@ def document(location: str, content: bytes, modified: str | None = None, origin:
         media = "text/markdown" if suffix.lower() in ("md", "markdown") else "text/plain"
     title = title.strip() or stem or location
     out = [t for _, t in R.LINK.findall(body) if t.startswith("http")] if origin == "web" else []
-    return (f"{origin}:{location}", origin, location, title, body, R.slug(title, R.slug(stem)), media, meta.get("author") or meta.get("dc.creator"), R.meta_date(meta) or modified, len(content), out)
+    return row_of(origin, location, title, body, R.slug(title, R.slug(stem)), media, meta.get("author") or meta.get("dc.creator"), R.meta_date(meta) or modified, content, out)
 
 
 def load(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """The documents below a folder; hidden files and other suffixes are left out. PDF files need an optional reader."""
+    """The documents below a folder; hidden files and other suffixes are left out. PDF files are read if ".pdf" is among the
+    suffixes, and need an optional reader."""
 
     def parse(batches):
         for b in batches:
@@ -53,9 +71,6 @@ def load(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -
     return files(spark, root).where(wanted).select("path", "content", "modified").mapInPandas(parse, SCHEMA)
 
 
-_COLUMNS = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-
-
 def from_pages(pages: DataFrame) -> DataFrame:
     """Documents of stored pages (url, html). Rows without either are left out."""
 
@@ -95,8 +110,9 @@ def check_url(url: str, ports: tuple[int, ...] = (80, 443), allow_private: bool
             raise FetchError(f"{parsed.hostname!r} is at {a}, which is not public")
 
 
-def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 10, same_host: bool = True) -> DataFrame:
-    """Breadth-first over stored pages (url, links): url and depth, nearest first, then by URL."""
+def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 10, same_host: bool = True, include: str | None = None, exclude: str | None = None) -> DataFrame:
+    """Breadth-first over stored pages (url, links): url and depth, nearest first, then by URL. include and exclude: patterns
+    that a URL found on a page must, and must not, hold."""
     spark = pages.sparkSession
     bare = lambda c: F.regexp_replace(c, "#.*$", "")
     host = lambda c: F.lower(F.regexp_extract(c, r"^[a-z]+://([^/?#:]+)", 1))
@@ -108,6 +124,10 @@ def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 10, same_host: bo
     while not frontier.isEmpty() and seen.count() < max_pages:
         depth += 1
         found = steps.join(frontier.select("url"), "url", "left_semi").select(F.col("to").alias("url")).where("url IS NOT NULL").distinct()
+        if include:
+            found = found.where(F.col("url").rlike(include))
+        if exclude:
+            found = found.where(~F.col("url").rlike(exclude))
         if same_host:
             found = found.join(hosts, host("url") == F.col("host"), "left_semi")
         frontier = written(found.join(known, "url", "left_semi").join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
