@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import json
-import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from typing import Any
 
+import numpy as np
 import yaml
 
 LONGEST_SECTION = 2400
@@ -190,19 +191,19 @@ def _within(path: str) -> str | None:
     return "/".join(parts)
 
 
-def resolve(raw: str, folder: str, exists: Callable[[str], bool]) -> str | None:
-    """A link's target as a path within the bundle: relative to the folder if that is there, else to the root if that is
-    there, else as the former; None for what lies outside."""
+def ends(raw: str, folder: str) -> tuple[str | None, str | None]:
+    """A link's target as a path within the bundle, seen from the folder and from the root; None for what lies outside, and for
+    the latter where the link itself says that it starts at the root."""
     target = re.split("[#?]", raw, maxsplit=1)[0]
     if not target or "://" in target or target.startswith(("mailto:", "tel:", "//")):
-        return None
-    if target.startswith("/"):
-        return _within(target)
-    here, root = _within(f"{folder}/{target}"), _within(target)
-    for path in (here, root):
-        if path is not None and exists(path):
-            return path
-    return here or root
+        return None, None
+    return (_within(target), None) if target.startswith("/") else (_within(f"{folder}/{target}"), _within(target))
+
+
+def resolve(raw: str, folder: str, exists: Callable[[str], bool]) -> str | None:
+    """Of a link's two ends the first that is there, else the first that is within the bundle."""
+    both = ends(raw, folder)
+    return next((p for p in both if p is not None and exists(p)), both[0] or both[1])
 
 
 def relative(folder: str, target: str) -> str:
@@ -446,11 +447,23 @@ def html_to_markdown(html: str) -> tuple[str, str, dict[str, str]]:
     return title, level_headings(re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()), tree.meta
 
 
+@functools.lru_cache(1 << 18)
+def _slot(token: str, size: int) -> tuple[int, float]:
+    h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+    return h % size, 1.0 + ((h >> 32) % 7) / 10.0
+
+
+def hash_embeddings(texts: Iterable[str], size: int = 256) -> np.ndarray:
+    """Tokens hashed into vectors of length one; all zeros for none. A batch is one pass over its distinct tokens."""
+    rows = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    places: dict[str, int] = {}
+    flat = np.fromiter((places.setdefault(t, len(places)) for row in rows for t in row), np.int64)
+    slots = np.array([_slot(t, size) for t in places]).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    out = np.bincount(owner * size + slots[flat, 0].astype(np.int64), slots[flat, 1], len(rows) * size).reshape(len(rows), size) if len(flat) else np.zeros((len(rows), size))
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
 def hash_embedding(text: str, size: int = 256) -> list[float]:
-    """Tokens hashed into a vector of length one; all zeros for none."""
-    out = [0.0] * size
-    for token in re.findall("[a-z0-9]+", (text or "").lower()):
-        h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-        out[h % size] += 1.0 + ((h >> 32) % 7) / 10.0
-    norm = math.sqrt(sum(x * x for x in out))
-    return [x / norm for x in out] if norm else out
+    return hash_embeddings([text], size)[0].tolist()

@@ -112,6 +112,11 @@ def path_mention(code: Column) -> Column:
     )
 
 
+def digest(content: Column) -> Column:
+    """The SHA-256 of the bytes, in hexadecimal digits."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def snippet(text: Column, limit: int = 380) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.left(flat, F.lit(limit))), F.lit("…"))).otherwise(flat)

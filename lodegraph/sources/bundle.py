@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as R
-from ..functions.text import type_label
+from ..functions.text import ancestors, digest, type_label
 
 RESERVED = frozenset({"index.md", "log.md"})
 WIKI_RESERVED = RESERVED | {"INSTRUCTIONS.md", "_plan.md", "_skeleton.md"}
@@ -129,13 +129,8 @@ def read(spark: SparkSession, root: str, name: str | None = None, reserved: froz
 
     pages = every.where(F.col("name").endswith(".md") & ~F.col("name").isin(*reserved)).select("path", "content")
     rows = pages.mapInPandas(parse, RECORD).withColumn("uid", uid(F.col("id"))).cache()
-    # What exists, for links: the files, and the folders above them.
-    there = sorted(r["path"] for r in every.select("path").collect())
-    known = spark.sparkContext.broadcast(frozenset(there) | {p.rsplit("/", i)[0] for p in there for i in range(1, p.count("/") + 1)})
-
-    @F.pandas_udf("string")
-    def target(raw: pd.Series, folder: pd.Series) -> pd.Series:
-        return pd.Series([R.resolve(a, b or "", known.value.__contains__) if a else None for a, b in zip(raw, folder)], dtype=object)
+    there = every.select("path")
+    target = lambda df, raw, name: resolved(df, raw, "dir", there, name)
 
     @F.pandas_udf("string")
     def titled(ids: pd.Series) -> pd.Series:
@@ -143,7 +138,7 @@ def read(spark: SparkSession, root: str, name: str | None = None, reserved: froz
 
     sections = rows.select("id", "dir", F.col("uid").alias("concept_uid"), F.explode("sections").alias("s")).select("id", "dir", "concept_uid", F.concat("concept_uid", F.lit("#s"), "s.order").alias("uid"), "s.*").withColumn("char_count", F.length("text"))
     found = sections.select("concept_uid", F.col("uid").alias("section_uid"), F.col("heading").alias("section"), F.col("order"), "dir", F.posexplode("links").alias("place", "l"))
-    found = found.select("concept_uid", "section_uid", "section", "order", "place", F.col("l.text").alias("text"), F.col("l.target").alias("raw"), target(F.col("l.target"), F.col("dir")).alias("to"))
+    found = target(found.select("concept_uid", "section_uid", "section", "order", "place", "dir", F.col("l.text").alias("text"), F.col("l.target").alias("raw")), "raw", "to")
     found = found.where(F.col("to").endswith(".md") & ~F.substring_index("to", "/", -1).isin(*reserved)).withColumn("target_uid", uid(F.expr("left(to, length(to) - 3)")))
     ids = rows.select(F.col("uid").alias("target_uid"), F.lit(True).alias("resolved"))
     found = found.join(ids, "target_uid", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
@@ -153,9 +148,8 @@ def read(spark: SparkSession, root: str, name: str | None = None, reserved: froz
 
     sources = rows.select("dir", F.col("uid").alias("concept_uid"), F.explode("sources").alias("s")).select("dir", "concept_uid", "s.*")
     sources = sources.withColumn("uid", F.concat(F.lit(f"{name}:src:"), "resource"))
-    local = F.when(~F.col("is_scope") & ~F.contains("resource", F.lit("://")), target(F.col("resource"), F.col("dir")))
-    exists = spark.createDataFrame([(p,) for p in there], "there string")
-    sources = sources.withColumn("local", local).join(exists, F.col("local") == F.col("there"), "left")
+    sources = target(sources.withColumn("inner", F.when(~F.col("is_scope") & ~F.contains("resource", F.lit("://")), F.col("resource"))), "inner", "local").drop("inner")
+    sources = sources.join(there.select(F.col("path").alias("there")), F.col("local") == F.col("there"), "left")
     sources = sources.withColumn("resolves_to", F.when(F.col("there").endswith(".md"), uid(F.expr("left(there, length(there) - 3)"))).when(F.col("there").isNotNull(), F.concat(F.lit(f"{name}:art:"), "there"))).drop("local", "there", "dir")
     cites = sections.select("concept_uid", F.col("uid").alias("src"), F.explode("footnotes").alias("sid")).join(sources.where("sid IS NOT NULL").select("concept_uid", "sid", F.col("uid").alias("dst")), ["concept_uid", "sid"]).select("src", "dst").distinct()
 
@@ -165,17 +159,18 @@ def read(spark: SparkSession, root: str, name: str | None = None, reserved: froz
     concepts = concepts.withColumn("bundle", F.lit(name)).withColumn("type_label", type_label(F.col("type"))).withColumn("stale_after", F.col("stale_after").cast("date"))
 
     held = every.where(~F.col("name").endswith(".md"))
-    named = rows.select("dir", F.explode(F.array("attester", "computation", "executor")).alias("raw")).where("raw IS NOT NULL AND NOT contains(raw, '://')").select(target(F.col("raw"), F.col("dir")).alias("path")).where("path IS NOT NULL AND NOT path LIKE '%.md'").distinct()
+    named = rows.select("dir", F.explode(F.array("attester", "computation", "executor")).alias("raw")).where("raw IS NOT NULL AND NOT contains(raw, '://')")
+    named = target(named, "raw", "path").select("path").where("path IS NOT NULL AND NOT path LIKE '%.md'").distinct()
     content = F.col("content").cast("string")
     text = F.when((F.col("length") <= LARGEST_ARTIFACT) & F.is_valid_utf8(content), content)
     why = F.when(F.col("length").isNull(), "missing").when(F.col("length") > LARGEST_ARTIFACT, "too_big").when(text.isNull(), "binary")
     artifacts = held.select("path", "content", "length").join(named, "path", "full")
-    artifacts = artifacts.select(F.concat(F.lit(f"{name}:art:"), "path").alias("uid"), "path", F.when(F.col("path").rlike(r"\.(py|sql|js)$"), "code").otherwise("file").alias("kind"), text.alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), why.alias("reason"))
+    artifacts = artifacts.select(F.concat(F.lit(f"{name}:art:"), "path").alias("uid"), "path", F.when(F.col("path").rlike(r"\.(py|sql|js)$"), "code").otherwise("file").alias("kind"), text.alias("text"), digest(F.col("content")).alias("sha256"), F.col("length").alias("size"), why.alias("reason"))
 
-    logs, log_fm = _logs(spark, every, name, rows, known)
+    logs, log_fm = _logs(every, name, rows)
     edge = lambda df, a, b, rel: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(rel).alias("rel"))
     points = rows.select("uid", "dir", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("EXECUTED_BY", "ATTESTED_BY", "COMPUTATION_FILE"))), F.array("executor", "attester", "computation"))).alias("rel", "raw")).where("raw IS NOT NULL AND NOT contains(raw, '://')")
-    points = points.withColumn("to", target(F.col("raw"), F.col("dir"))).where("to IS NOT NULL")
+    points = target(points, "raw", "to").where("to IS NOT NULL")
     as_concept = points.where("rel = 'EXECUTED_BY' AND to LIKE '%.md'").select(F.col("uid").alias("src"), uid(F.expr("left(to, length(to) - 3)")).alias("dst"), "rel").join(ids.select(F.col("target_uid").alias("dst")), "dst", "left_semi").select("src", "dst", "rel")
     as_file = points.where("rel <> 'EXECUTED_BY' AND NOT to LIKE '%.md'").select(F.col("uid").alias("src"), F.concat(F.lit(f"{name}:art:"), "to").alias("dst"), "rel")
     edges = edge(links, "src", "dst", "LINKS_TO").union(edge(sections, "concept_uid", "uid", "HAS_SECTION")).union(edge(mentions, "src", "dst", "MENTIONS")).union(edge(cites, "src", "dst", "CITES"))
@@ -198,7 +193,31 @@ def _names(ddl: str) -> list[str]:
     return out
 
 
-def _logs(spark: SparkSession, every: DataFrame, name: str, rows: DataFrame, known: Any) -> tuple[DataFrame, dict[str, str]]:
+def resolved(df: DataFrame, raw: str, folder: str, there: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``, the path that the link in ``raw`` means, seen from ``folder``. there: path of each file; the folders above them are there
+    too. Both ends of a link are looked up by joins, so files may be as many as they like."""
+
+    @F.pandas_udf("struct<here:string,root:string>")
+    def both(links: pd.Series, folders: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([R.ends(a, b or "") if a else (None, None) for a, b in zip(links, folders)], columns=["here", "root"], dtype=object)
+
+    known = there.select(F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("known")).distinct()
+    ends = df.withColumn("link_ends", both(F.col(raw), F.col(folder)))
+    for at in ("here", "root"):
+        ends = ends.join(known.withColumnRenamed("known", f"is_{at}"), F.col(f"link_ends.{at}") == F.col(f"is_{at}"), "left")
+    return ends.withColumn(name, F.coalesce("is_here", "is_root", F.nullif("link_ends.here", F.lit("")), "link_ends.root")).drop("link_ends", "is_here", "is_root")
+
+
+def numbered(entries: DataFrame, path: str = "path", place: str = "place") -> DataFrame:
+    """``order``, from 0 through all logs in the order of their paths. Entries are numbered within their log; only the logs' sizes, a row for
+    each, are added up in one place."""
+    sizes = entries.groupBy(path).agg(F.count("*").alias("n"))
+    before = sizes.select(F.col(path).alias("of_log"), (F.sum("n").over(Window.orderBy(path)) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(path).orderBy(place)) - 1
+    return entries.withColumn("own", own).join(before, F.col(path) == F.col("of_log")).withColumn("order", (F.col("own") + F.col("before")).cast("int")).drop("own", "before", "of_log")
+
+
+def _logs(every: DataFrame, name: str, rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The entries of all logs, numbered through them in the order of their paths."""
     schema = "path string, dir string, place int, date string, kind string, text string, raw array<string>, front string"
 
@@ -210,14 +229,15 @@ def _logs(spark: SparkSession, every: DataFrame, name: str, rows: DataFrame, kno
                 fm, body, _ = R.front_matter(text)
                 front = text.split("---", 2)[1].strip("\n") if fm else None
                 entries = R.log_entries(body)
-                out += [(path, folder, i, e["date"], e["kind"], e["text"], [t for raw in e["refs"] if (t := R.resolve(raw, folder or "", known.value.__contains__)) and t.endswith(".md")], front) for i, e in enumerate(entries)]
+                out += [(path, folder, i, e["date"], e["kind"], e["text"], e["refs"], front) for i, e in enumerate(entries)]
                 out += [(path, folder, -1, None, None, None, [], front)] if front and not entries else []
             yield pd.DataFrame(out, columns=["path", "dir", "place", "date", "kind", "text", "raw", "front"])
 
     got = every.where("name = 'log.md'").select("path", "dir", "content").mapInPandas(parse, schema).cache()
     front = {r["dir"]: r["front"] for r in got.where("front IS NOT NULL").select("dir", "front").distinct().collect()}
-    entries = got.where("place >= 0").withColumn("order", F.row_number().over(Window.orderBy("path", "place")) - 1).withColumn("uid", F.concat(F.lit(f"{name}:log:"), "order"))
-    refs = entries.select("uid", F.posexplode("raw").alias("k", "to")).withColumn("ref", F.concat(F.lit(f"{name}:"), F.expr("left(to, length(to) - 3)"))).join(rows.select(F.col("uid").alias("ref")), "ref", "left_semi")
+    entries = numbered(got.where("place >= 0")).withColumn("uid", F.concat(F.lit(f"{name}:log:"), "order"))
+    links = resolved(entries.select("uid", "dir", F.posexplode("raw").alias("k", "link")), "link", "dir", every.select("path"), "to").where("to LIKE '%.md'")
+    refs = links.withColumn("ref", F.concat(F.lit(f"{name}:"), F.expr("left(to, length(to) - 3)"))).join(rows.select(F.col("uid").alias("ref")), "ref", "left_semi")
     refs = refs.groupBy("uid", "ref").agg(F.min("k").alias("k")).groupBy("uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ref"))), lambda s: s["ref"]).alias("references"))
     out = entries.join(refs, "uid", "left").select("uid", F.col("date").cast("date").alias("date"), "kind", "text", "order", "dir", F.coalesce("references", F.array().cast("array<string>")).alias("references"))
     return out, front
