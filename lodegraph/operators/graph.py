@@ -35,6 +35,9 @@ def reach(edges: DataFrame, start: DataFrame, hops: int, *, reverse: bool = Fals
     forward = edges.select(F.col("src").alias("here"), F.col("dst").alias("there"))
     backward = edges.select(F.col("dst").alias("here"), F.col("src").alias("there"))
     steps = forward.union(backward) if both else backward if reverse else forward
+    if hops > 1:
+        # Written once, so that each hop reads pairs, and not again what the edges were made of.
+        steps = written(steps.where("here <> there").distinct())
     seen = written(start.select(F.col(start.columns[0]).alias("node")).distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for depth in range(1, hops + 1):

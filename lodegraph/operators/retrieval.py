@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .wiki import top_per
@@ -50,6 +50,16 @@ def contains(sections: DataFrame, query: str, k: int) -> DataFrame:
     return sections.where(hit).select("uid", F.lit(1.0).alias("score")).orderBy("uid").limit(k)
 
 
+def hybrid(rankings: list[DataFrame], k: int, damp: int = 60) -> DataFrame:
+    """uid and score of several rankings (uid, score) in one: the sum of 1 / (damp + place). The rankings are top-k lists, so a place is
+    found in few rows."""
+    placed = [r.select("uid", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "uid")).alias("place")) for r in rankings]
+    every = placed[0]
+    for p in placed[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("uid").agg(F.sum(1.0 / (damp + F.col("place"))).alias("score")).orderBy(F.desc(F.round("score", 9)), "uid").limit(k)
+
+
 def similar_ids(concepts: DataFrame, wanted: str, k: int = 6) -> DataFrame:
     """Ids that hold the wanted one's last part or lie in its directory."""
     last, folder = wanted.rsplit("/", 1)[-1], wanted.rsplit("/", 1)[0]

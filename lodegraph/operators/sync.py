@@ -37,6 +37,55 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str = "uid") -> DataFrame:
     return nodes.join(ends, F.col(key) == F.col("end"), "left_anti")
 
 
+def without_bundle(old: DataFrame, bundle: str | None = None) -> DataFrame:
+    """The table without the bundle's rows; without any if none is named."""
+    return old.where(F.col("bundle") != bundle) if bundle else old.limit(0)
+
+
+def vanished(old: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
+    """Rows of the old snapshot that the new one no longer has."""
+    return old.join(new.select(F.col(key).alias("still_there")), F.col(key) == F.col("still_there"), "left_anti")
+
+
+def swept(nodes: DataFrame, edges: DataFrame, key: str = "uid") -> DataFrame:
+    """Nodes that still have an edge: tags, actors, sources and files exist for as long as something points at them."""
+    ends = edges.select(F.col("src").alias("end")).union(edges.select("dst")).distinct()
+    return nodes.join(ends, F.col(key) == F.col("end"), "left_semi")
+
+
+def reset(concepts: DataFrame, edges: DataFrame, shared: DataFrame, bundle: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Concepts, edges and shared nodes (tags, actors) after a bundle, or all, is gone. Edges name their ends by ``bundle:...``."""
+    own = (lambda c: F.startswith(c, F.lit(f"{bundle}:"))) if bundle else (lambda c: F.lit(True))
+    left = edges.where(~own(F.col("src")))
+    return without_bundle(concepts, bundle), left, swept(shared, left)
+
+
+def source_files(groundings: DataFrame, bundle: str) -> DataFrame:
+    """uid, path and kind of the files that pages are grounded in. Of several kinds the first counts (declared ones come last), but
+    a directory that is a file as well is a file."""
+    place = F.struct("declared", "page", "kind")
+    return groundings.groupBy("path").agg(F.min_by("kind", place).alias("first"), F.max(F.col("kind") == "file").alias("is_file")).select(
+        F.concat(F.lit(f"{bundle}:file:"), "path").alias("uid"), "path", F.when((F.col("first") == "dir") & F.col("is_file"), "file").otherwise(F.col("first")).alias("kind"), F.lit(bundle).alias("bundle")
+    )
+
+
+def wiki_edges(groundings: DataFrame, extensions: DataFrame, bundle: str) -> DataFrame:
+    """src, dst, rel: GROUNDED_IN, or VALIDATED_BY for tests, and what the pages declare, DOCUMENTS and HAS_INVARIANT."""
+    page = F.concat(F.lit(f"{bundle}:"), "page")
+    files = groundings.select(page.alias("src"), F.concat(F.lit(f"{bundle}:file:"), "path").alias("dst"), F.when(F.col("kind") == "test", "VALIDATED_BY").otherwise("GROUNDED_IN").alias("rel"))
+    symbols = extensions.where("field = 'symbols'").select(page.alias("src"), F.concat(F.lit(f"{bundle}:sym:"), "value").alias("dst"), F.lit("DOCUMENTS").alias("rel"))
+    held = extensions.where("field = 'invariants'").select(page.alias("src"), F.concat(page, F.lit("#inv"), "place").alias("dst"), F.lit("HAS_INVARIANT").alias("rel"))
+    return files.union(symbols).union(held)
+
+
+def added_runs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The runs so far and the new ones: they accumulate, one for each bundle and commit, and a run that comes again replaces its row. Runs
+    without a commit are none."""
+    both = old.withColumn("at_last", F.lit(0)).unionByName(new.withColumn("at_last", F.lit(1)), allowMissingColumns=True).where("git_head IS NOT NULL")
+    columns = [c for c in both.columns if c != "at_last"]
+    return both.groupBy("bundle", "git_head").agg(F.max_by(F.struct(*columns), F.struct("at_last", "updated_at")).alias("row")).select("row.*")
+
+
 def duplicates(nodes: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, for assertions of uniqueness."""
     return nodes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
@@ -48,18 +97,25 @@ def next_sections(sections: DataFrame) -> DataFrame:
     return sections.select(F.col("uid").alias("prev"), following.alias("next")).where("next IS NOT NULL")
 
 
-def numbered_slugs(rows: DataFrame, order: str) -> DataFrame:
-    """Equal slugs (but for case) get -2, -3, ... in order."""
+def numbered_slugs(rows: DataFrame, order: str, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """Equal slugs (but for case) get -2, -3, ... in order; reserved names get ``-concept`` before that."""
+    if reserved:
+        rows = rows.withColumn("slug", F.when(F.lower("slug").isin(*reserved), F.concat("slug", F.lit("-concept"))).otherwise(F.col("slug")))
     place = F.row_number().over(Window.partitionBy(F.lower("slug")).orderBy(order))
     return rows.withColumn("k", place).withColumn("slug", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), "k"))).drop("k")
 
 
-def subtree_summaries(concepts: DataFrame) -> DataFrame:
-    """dir and a line on what lies in it or below: how many concepts, and of which types."""
+def subtree_summaries(concepts: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """dir and a line on what lies in it or below: how many concepts, and of which types, and how many other files (artifacts: dir)."""
     folders = F.array_append(ancestors(F.col("dir")), F.col("dir"))
-    inside = concepts.select("type", F.explode(folders).alias("dir")).where("dir <> ''")
-    noun = F.when(F.col("n") == 1, " concept (").otherwise(" concepts (")
-    return inside.groupBy("dir").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("type")).alias("types")).select("dir", F.concat("n", noun, F.array_join("types", ", "), F.lit(")")).alias("summary"))
+    inside = concepts.select(F.explode(folders).alias("dir"), "type", F.lit(0).alias("file")).where("dir <> ''")
+    if artifacts is not None:
+        inside = inside.unionByName(artifacts.select(F.explode(folders).alias("dir"), F.lit(None).cast("string").alias("type"), F.lit(1).alias("file")).where("dir <> ''"))
+    several = lambda n, one, more: F.when(F.col(n) == 1, one).otherwise(more)
+    out = inside.groupBy("dir").agg(F.count("type").alias("n"), F.sum("file").alias("files"), F.sort_array(F.collect_set("type")).alias("types"))
+    held = F.when(F.col("n") > 0, F.concat("n", several("n", " concept (", " concepts ("), F.array_join("types", ", "), F.lit(")")))
+    others = F.when(F.col("files") > 0, F.concat("files", several("files", " file", " files")))
+    return out.select("dir", F.concat_ws(", ", held, others).alias("summary"))
 
 
 def index_blocks(concepts: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def dangling(groundings: DataFrame, files: DataFrame) -> DataFrame:
     return gone.groupBy(F.col("path").alias("vanished_file")).agg(F.array_join(F.sort_array(F.collect_list("page")), ", ").alias("still_documented_by"), F.sum("mentions").alias("total_mentions"))
 
 
+def documented(groundings: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of the repository that pages are grounded in by their own path."""
+    return groundings.where("kind = 'file'").select("path").intersect(files.select(F.col(files.columns[0]).alias("path")))
+
+
 def coverage_gaps(groundings: DataFrame, files: DataFrame, prefix: str = "") -> DataFrame:
     """Files under the prefix that no page is grounded in, nor in a path above them (of any kind)."""
     paths = files.select(F.col(files.columns[0]).alias("path")).where(F.col("path").startswith(prefix)).distinct()
@@ -62,6 +67,12 @@ def coverage_gaps(groundings: DataFrame, files: DataFrame, prefix: str = "") ->
     return paths.join(above.join(known, "known", "left_semi").select("path").distinct(), "path", "left_anti")
 
 
+def stats(groundings: DataFrame, extensions: DataFrame) -> DataFrame:
+    """groundings, source_files (paths, files and directories of one name apart) and extensions (pages that declare something)."""
+    g = groundings.agg(F.count("*").alias("groundings"), F.count_distinct("path", F.col("kind") != "dir").alias("source_files"))
+    return g.crossJoin(extensions.agg(F.count_distinct("page").alias("extensions")))  # one row each
+
+
 def hubs(pages: DataFrame, groundings: DataFrame, links: DataFrame, k: int = 15) -> DataFrame:
     inbound = links.groupBy("dst").agg(F.count("*").alias("inbound_links"))
     files = groundings.where("kind <> 'test'").groupBy("page").agg(F.count("*").alias("grounded_files"))

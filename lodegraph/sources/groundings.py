@@ -49,7 +49,19 @@ def of(b: Bundle) -> DataFrame:
 
 
 def run(spark: SparkSession, path: str, bundle: str) -> DataFrame:
-    """The run that a wiki's update file names: bundle, git_head, updated_at, command, model, status, language."""
-    got = spark.read.option("multiLine", True).json(path)
-    names = {"gitHead": "git_head", "updatedAt": "updated_at", "command": "command", "model": "model", "status": "status", "language": "language"}
-    return got.select(F.lit(bundle).alias("bundle"), *[(F.col(a) if a in got.columns else F.lit(None)).cast("string").alias(b) for a, b in names.items()])
+    """The run that a wiki's update file names: bundle, git_head, updated_at, command, model, status, language. No row if there is no such
+    file, or nothing in it that can be read. Its name begins with a dot, and Spark's readers pass over such files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    got = None
+    if fs.exists(at):
+        stream = fs.open(at)
+        try:
+            got = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").lstrip("\ufeff"))
+        except ValueError:
+            pass
+        finally:
+            stream.close()
+    names = ("gitHead", "updatedAt", "command", "model", "status", "language")
+    rows = [(bundle, *(None if got.get(k) is None else str(got[k]) for k in names))] if isinstance(got, dict) else []
+    return spark.createDataFrame(rows, "bundle string, git_head string, updated_at string, command string, model string, status string, language string")
