@@ -1,49 +1,90 @@
-"""Command line: ingest, ingest-wiki, impact, project, fetch, wiki, stats, reset over snapshots in a folder of Parquet tables."""
+"""Command line: ingest, ingest-wiki, embed, impact, project, fetch, wiki, stats, reset over snapshots in a folder of Parquet tables."""
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
 import json
-import shutil
-import subprocess
+import uuid
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import authoring
-from .operators import governance, sync, wiki
+from . import authoring, tools
+from .functions import records
+from .operators import embedding, governance, sync, wiki
 from .sources import bundle, documents, emit, groundings
 
 TABLES = ("concepts", "sections", "sources", "links", "artifacts", "logs", "edges")
 
 
-def save(b: bundle.Bundle, store: str) -> None:
-    """Writes a bundle's tables beside the old ones and then takes their place, so a failure leaves the old snapshot."""
-    spark = b.concepts.sparkSession
-    final, fresh = Path(store) / b.name, Path(store) / f".{b.name}-new"
-    shutil.rmtree(fresh, ignore_errors=True)
-    for t in TABLES:
-        df = getattr(b, t)
-        if t == "sections" and (final / t).exists() and "embedding" in (old := spark.read.parquet(str(final / t))).columns:
-            df = sync.keep_embeddings(df, old)
-        df.write.parquet(str(fresh / t))
-    shutil.rmtree(final, ignore_errors=True)
-    fresh.rename(final)
+class Store:
+    """Tables of bundles below a folder, local or of any file system that Spark knows. A table is written as a new version, and then the bundle's
+    small index is made to name the versions: a failure leaves the old snapshot, and what is no longer named is removed."""
 
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def table(spark: SparkSession, store: str, name: str, which: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/{name}/{which}")
+    def index(self, name: str) -> dict[str, Any]:
+        at = f"{self.root}/{name}/index.json"
+        if not self._fs.exists(self._path(at)):
+            return {}
+        return json.loads("\n".join(r["value"] for r in self.spark.read.text(at, wholetext=True).collect()))
+
+    def names(self) -> list[str]:
+        there = self._path(self.root)
+        found = self._fs.listStatus(there) if self._fs.exists(there) else []
+        return sorted(s.getPath().getName() for s in found if s.isDirectory())
+
+    def table(self, name: str, which: str) -> DataFrame | None:
+        version = self.index(name).get("tables", {}).get(which)
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}") if version else None
+
+    def save(self, name: str, tables: dict[str, DataFrame], **facts: Any) -> None:
+        old = self.index(name)
+        stamp = uuid.uuid4().hex
+        for t, df in tables.items():
+            df.write.parquet(f"{self.root}/{name}/{t}-{stamp}")
+        new = old | facts | {"tables": old.get("tables", {}) | {t: f"{t}-{stamp}" for t in tables}}
+        out = self._fs.create(self._path(f"{self.root}/{name}/index.json"), True)
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        for t in tables:
+            if t in old.get("tables", {}):
+                self._fs.delete(self._path(f"{self.root}/{name}/{old['tables'][t]}"), True)
+
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+
+def save(b: bundle.Bundle, store: Store, **more: DataFrame) -> None:
+    """A bundle's tables in place of the old ones. Sections keep the vectors of texts that are as they were."""
+    tables = {t: getattr(b, t) for t in TABLES}
+    old = store.table(b.name, "sections")
+    if old is not None and "embedding" in old.columns:
+        tables["sections"] = sync.keep_embeddings(tables["sections"], old)
+    repeated = sync.duplicates(tables["concepts"], "uid").limit(5).collect()
+    if repeated:
+        raise ValueError(f"several concepts have one uid: {', '.join(r['uid'] for r in repeated)}")
+    store.save(b.name, tables | more, version=b.version, log_frontmatter=b.log_frontmatter)
+
+
+def stored(store: Store, name: str) -> bundle.Bundle:
+    facts = store.index(name)
+    if not facts:
+        raise SystemExit(f"no bundle {name!r}; there are: {', '.join(store.names()) or 'none'}")
+    return bundle.Bundle(name, facts.get("version"), *(store.table(name, t) for t in TABLES), warnings=None, log_frontmatter=facts.get("log_frontmatter") or {})
 
 
 def changed_paths(args: argparse.Namespace) -> list[str]:
     if args.changes:
-        return json.loads(Path(args.changes).read_text())["files"]
-    if args.since:
-        done = subprocess.run(["git", "-C", args.repo, "diff", "--name-only", f"{args.since}..{args.until}"], capture_output=True, text=True, check=True)
-        return done.stdout.split("\n")[:-1]
-    return args.paths
+        return json.loads(Path(args.changes).read_text(encoding="utf-8-sig"))["files"]
+    return tools.git_changes(args.repo, args.since, args.until) if args.since else args.paths
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -75,6 +116,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         p.add_argument("to")
         p.add_argument("--name", default="wiki")
     sub.add_parser("stats").add_argument("name")
+    p = sub.add_parser("embed")
+    p.add_argument("name")
+    p.add_argument("--size", type=int, default=256)
     p = sub.add_parser("reset")
     p.add_argument("--name")
     p.add_argument("--all", action="store_true")
@@ -82,22 +126,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "reset" and bool(args.name) == args.all:
         parser.error("reset needs either --name or --all")
     spark = spark or SparkSession.builder.getOrCreate()
+    store = Store(spark, args.store)
     if args.command == "ingest":
-        save(b := bundle.read(spark, args.root, args.name), args.store)
+        save(b := bundle.read(spark, args.root, args.name), store)
         print(json.dumps(b.stats()))
     elif args.command == "ingest-wiki":
-        save(b := bundle.read(spark, args.root, args.name, bundle.WIKI_RESERVED), args.store)
-        groundings.of(b).write.mode("overwrite").parquet(f"{args.store}/{b.name}/groundings")
-        print(json.dumps(b.stats()))
+        b = bundle.read(spark, args.root, args.name, bundle.WIKI_RESERVED)
+        found, declared = groundings.of(b), groundings.extensions(b)
+        more = {"groundings": found, "extensions": declared, "source_files": sync.source_files(found, b.name), "wiki_edges": sync.wiki_edges(found, declared, b.name)}
+        new, old = groundings.run(spark, f"{args.root.rstrip('/')}/.last-update.json", b.name), store.table(b.name, "runs")
+        more["runs"] = sync.added_runs(old if old is not None else new.limit(0), new)
+        save(b, store, **more)
+        print(json.dumps(b.stats() | wiki.stats(found, declared).first().asDict()))
+    elif args.command == "embed":
+        b = stored(store, args.name)
+        sections = b.sections if "embedding" in b.sections.columns else b.sections.withColumn("embedding", F.lit(None).cast("array<double>"))
+        store.save(args.name, {"sections": embedding.embed_missing(sections, b.concepts, args.size, lambda x: records.hash_embeddings(x, args.size))})
+        print(f"{embedding.guard(store.table(args.name, 'sections'), args.size).count()} sections")
     elif args.command == "impact":
-        pages = table(spark, args.store, args.name, "concepts")
+        b = stored(store, args.name)
         ids = lambda c: F.regexp_replace(c, "^[^:]*:", "")
-        links = table(spark, args.store, args.name, "links").select(ids("src").alias("src"), ids("dst").alias("dst"))
+        links = b.links.select(ids("src").alias("src"), ids("dst").alias("dst"))
         paths = spark.createDataFrame([(x,) for x in changed_paths(args)], "path string")
-        for r in wiki.impact(pages, table(spark, args.store, args.name, "groundings"), links, paths).orderBy(F.desc("weight"), "page").collect():
+        for r in wiki.impact(b.concepts, store.table(args.name, "groundings"), links, paths).orderBy(F.desc("weight"), "page").collect():
             print(f"{r['weight']:>5}  {r['page']}  <- {r['changed_files']}")
     elif args.command == "project":
-        b = bundle.Bundle(args.name, None, *(table(spark, args.store, args.name, t) for t in TABLES), warnings=None, log_frontmatter={})
+        b = stored(store, args.name)
         what = governance.Selection(args.id, args.seed, args.hops, args.tag, args.type, args.status, args.min_trust, args.exclude_stale, args.include_referenced)
         chosen = governance.select(b.concepts, b.edges, what, dt.date.today())
         lost = [r.asDict() for r in governance.dangling_links(chosen, b.links, b.concepts).collect()]
@@ -115,17 +169,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         emit.write_folder(out | {"fetch-index.json": json.dumps(index, indent=2)}, args.to)
         print(f"{len(rows)} documents")
     elif args.command == "wiki":
-        docs = [r.asDict() for r in documents.load(spark, args.root).orderBy("location").collect()]
+        docs = [r.asDict() for r in authoring.outlined(documents.load(spark, args.root)).orderBy("location").collect()]
         files, concepts = authoring.build(docs, args.name, dt.datetime.now(dt.UTC).isoformat(timespec="seconds"))
         emit.write_folder(files, args.to)
         print(f"{len(docs)} documents, {len(concepts)} concepts")
     elif args.command == "stats":
-        for df in (governance.counts_by_label(table(spark, args.store, args.name, "concepts")), governance.counts_by_rel(table(spark, args.store, args.name, "edges"))):
+        for df in (governance.counts_by_label(stored(store, args.name).concepts), governance.counts_by_rel(stored(store, args.name).edges)):
             for a, n in sorted(map(tuple, df.collect())):
                 print(f"{n:>8}  {a}")
     else:
-        for p in [Path(args.store) / args.name] if args.name else Path(args.store).glob("*"):
-            shutil.rmtree(p, ignore_errors=True)
+        # Tags, actors and files are made from the edges of a bundle's own tables, so none is left without its bundle.
+        for name in [args.name] if args.name else store.names():
+            store.drop(name)
     return 0
 
 

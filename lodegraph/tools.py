@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+import inspect
 import os
+import subprocess
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +22,53 @@ class ToolError(ValueError):
 
 
 def checked(value: Any, name: str, kind: type, least: int, most: int) -> Any:
-    size = value if kind is int else len(value)
-    if not isinstance(value, kind) or isinstance(value, bool) or not least <= size <= most:
+    value = value.strip() if isinstance(value, str) else value
+    if not isinstance(value, kind) or isinstance(value, bool) or not least <= (value if kind is int else len(value)) <= most:
         raise ToolError(f"{name} must be a {kind.__name__} of {least} to {most}")
     return value
 
 
+def git_lines(repo: str, *command: str) -> list[str]:
+    """What a git command lists."""
+    done = subprocess.run(["git", "-C", repo, *command], capture_output=True, text=True, check=True)
+    return [x for x in done.stdout.splitlines() if x.strip()]
+
+
+def git_changes(repo: str, since: str, until: str = "HEAD") -> list[str]:
+    return git_lines(repo, "diff", "--name-only", f"{since}..{until}")
+
+
+def git_files(repo: str) -> list[str]:
+    return git_lines(repo, "ls-files")
+
+
+def remedy(e: Exception) -> str:
+    """What went wrong, and what to do about it."""
+    if isinstance(e, ValueError):
+        return f"Error: {e}"
+    if isinstance(e, FileNotFoundError):
+        return f"Error: {e.filename} is not there; look at the path."
+    if isinstance(e, subprocess.CalledProcessError):
+        return f"Error: git failed in that folder: {(e.stderr or '').strip() or e}. Give the changed paths instead."
+    if isinstance(e, PySparkException):
+        missing = "TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND"
+        return "Error: the store has no such table; ingest the wiki first." if any(m in str(e) for m in missing) else f"Error: the query failed: {str(e).splitlines()[0][:200]}"
+    return f"Error: {type(e).__name__}: {e}"
+
+
 def tool(function: Callable[..., str]) -> Callable[..., str]:
+    signature = inspect.signature(function)
+
     @functools.wraps(function)
     def run(*args: Any, **kwargs: Any) -> str:
         try:
-            return function(*args, **kwargs)
+            signature.bind(*args, **kwargs)
         except TypeError as e:
-            return f"Error: {e}. Look at the tool's arguments."
+            return f"Error: {e}; the arguments are {', '.join(list(signature.parameters)[1:]) or 'none'}"
+        try:
+            return function(*args, **kwargs)
         except Exception as e:  # a tool answers in text, whatever happens
-            return f"Error: {e}"
+            return remedy(e)
 
     return run
 
@@ -65,7 +100,7 @@ class Tools:
 
     @tool
     def search(self, query: str, bundle: str | None = None, limit: int = 5) -> str:
-        checked(query, "query", str, 2, 300)
+        query = checked(query, "query", str, 2, 300)
         checked(limit, "limit", int, 1, 20)
         ids = self.pages.where(F.col("bundle") == self.bundle(bundle)).select(F.col("id").alias("page"))
         own = self.sections.join(ids, "page", "left_semi")
@@ -78,8 +113,8 @@ class Tools:
         return _lines(out.orderBy(F.desc("score"), "page"), "page", "heading", "score", "text", "files")
 
     @tool
-    def get_page(self, page: str, bundle: str | None = None) -> str:
-        checked(page, "page", str, 1, 300)
+    def get_page(self, page: str, bundle: str | None = None, include_body: bool = True) -> str:
+        page = checked(page, "page", str, 1, 300)
         pages = self.pages.where(F.col("bundle") == self.bundle(bundle))
         row = pages.where(F.col("id") == page).first()
         if row is None:
@@ -88,15 +123,16 @@ class Tools:
         out = [f"# {row['title']} ({page})"]
         if row["stub"]:
             out.append("This page is linked to and not yet written.")
-        out += [f"## {r['heading']}\n{r['text']}" for r in self.sections.where(F.col("page") == page).orderBy("order").collect()]
+        own = (lambda t: t) if include_body else (lambda t: t.strip().split("\n", 1)[0][:160])
+        out += [f"## {r['heading']}\n{own(r['text'])}" for r in self.sections.where(F.col("page") == page).orderBy("order").collect()]
         for title, df, here, there in (("Links to", self.links, "src", "dst"), ("Linked from", self.links, "dst", "src")):
             ids = sorted({r[there] for r in df.where(F.col(here) == page).select(there).collect()})
             out += [f"{title}: {', '.join(ids)}"] if ids else []
         top = self.groundings.where(F.col("page") == page).orderBy(F.desc("mentions"), "path").limit(8).collect()
         return "\n\n".join(out + ([f"Grounded in: {', '.join(r['path'] for r in top)}"] if top else []))
 
-    def _changed(self, paths: list[str]) -> DataFrame:
-        checked(paths, "paths", list, 1, 500)
+    def _changed(self, paths: list[str], least: int = 1, most: int = 500) -> DataFrame:
+        checked(paths, "paths", list, least, most)
         return self.pages.sparkSession.createDataFrame([(str(p),) for p in paths], "path string")
 
     @tool
@@ -105,16 +141,28 @@ class Tools:
         return _lines(wiki.impact(pages, self.groundings, self.links, self._changed(paths)).orderBy(F.desc("weight"), "page"), "page", "weight", "changed_files", "downstream_pages")
 
     @tool
-    def stale_pages(self, paths: list[str], bundle: str | None = None) -> str:
+    def stale_pages(self, paths: list[str] | None = None, bundle: str | None = None, repo: str | None = None) -> str:
+        """paths: changed since the last run; if not given they are asked of git, in ``repo`` or the folder that LODEGRAPH_REPO names."""
         name = self.bundle(bundle)
         run = wiki.latest_run(self.runs.where(F.col("bundle") == name))
-        out = wiki.staleness(self.pages.where(F.col("bundle") == name), self.groundings, self._changed(paths), run)
+        last = run.first()
+        if last is None:
+            raise ToolError("no run of this wiki is known, so nothing tells what it is current with")
+        most = 500
+        if paths is None:
+            folder = repo or os.environ.get("LODEGRAPH_REPO")
+            if not folder:
+                raise ToolError("give the changed paths, or the folder of the repository")
+            paths, most = git_changes(folder, last["git_head"]), 1 << 20
+        out = wiki.staleness(self.pages.where(F.col("bundle") == name), self.groundings, self._changed(paths, 0, most), run)
         return _lines(out.where("hit_files > 0").orderBy(F.desc("weight"), "page"), "page", "verdict", "hit_files", "weight")
 
     @tool
-    def coverage_gaps(self, prefix: str = "", bundle: str | None = None) -> str:
-        checked(prefix, "prefix", str, 0, 200)
+    def coverage_gaps(self, prefix: str = "", bundle: str | None = None, repo: str | None = None) -> str:
+        """The files are those that git lists in ``repo``, if given, else those stored with the wiki."""
+        prefix = checked(prefix, "prefix", str, 0, 200)
         self.bundle(bundle)
-        gaps = wiki.coverage_gaps(self.groundings, self.files, prefix).orderBy("path")
-        gone = wiki.dangling(self.groundings, self.files).orderBy(F.desc("total_mentions"), "vanished_file")
+        files = self.pages.sparkSession.createDataFrame([(x,) for x in git_files(repo)], "path string") if repo else self.files
+        gaps = wiki.coverage_gaps(self.groundings, files, prefix).orderBy("path")
+        gone = wiki.dangling(self.groundings, files).orderBy(F.desc("total_mentions"), "vanished_file")
         return f"{gaps.count()} files without documentation, the first 40:\n" + _lines(gaps.limit(40), "path") + "\n\nDocumented files that are gone:\n" + _lines(gone, "vanished_file", "still_documented_by", "total_mentions")

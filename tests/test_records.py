@@ -113,11 +113,13 @@ def test_markdown_round_trip():
 
 
 def _doc(title, text, slug=None):
+    """A document as ``authoring.outlined`` gives it."""
     return {"slug": slug or R.slug(title), "title": title, "text": text, "location": f"in/{title}", "origin": "file", "author": None, "last_modified": "2025-01-01", "media_type": "text/markdown"}
 
 
-def test_authoring():
+def test_authoring(spark):
     docs = [_doc("Gross Margin metric", "# Gross Margin metric\n\nThe headline metric of the firm, see the Close Runbook page. Also `Close Runbook` in code.\n\n## Use\n\nWeekly."), _doc("Close Runbook", "# Close Runbook\n\nOn-call triage steps for the Daily Sales dashboard, in order."), _doc("Index", "# Index\n\nA term without any other evidence in it."), _doc("Empty", "")]
+    docs = [r.asDict() for r in authoring.outlined(spark.createDataFrame(docs, "slug string, title string, text string, location string, origin string, author string, last_modified string, media_type string")).collect()]
     files, concepts = authoring.build(docs, "w", "2025-01-01T00:00:00+00:00")
     assert {"metrics/gross-margin-metric.md", "runbooks/close-runbook.md", "glossary/index-concept.md", "references/index.md"} & set(files)
     margin = files["metrics/gross-margin-metric.md"]
