@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import attestation, authoring
 from ..functions import records
 from ..functions import text as X
-from ..operators import governance, graph, retrieval, sync, wiki
+from ..operators import embedding, governance, graph, retrieval, sync, wiki
+from ..sources import bundle, groundings
 from .oracle import AS_OF as SQL_AS_OF
 from .oracle import over, reached
 from .star import AS_OF, Star
@@ -116,9 +118,16 @@ def dangling_groundings(s: Star) -> DataFrame:
     return wiki.dangling(s.groundings(), s.repo_files())
 
 
-@query(over("grounding repo_file", "+, g AS (SELECT DISTINCT path FROM grounding WHERE path LIKE 'de%') SELECT path FROM repo_file f WHERE NOT EXISTS (SELECT 1 FROM g WHERE f.path = g.path OR starts_with(f.path, g.path || '/'))"))
+@query(over("grounding repo_file", "+, g AS (SELECT DISTINCT path FROM grounding WHERE declared) SELECT path FROM repo_file f WHERE NOT EXISTS (SELECT 1 FROM g WHERE f.path = g.path OR starts_with(f.path, g.path || '/'))"))
 def coverage_gaps(s: Star) -> DataFrame:
-    return wiki.coverage_gaps(s.groundings().where("path LIKE 'de%'"), s.repo_files())
+    """By the groundings that are declared, all of them; the prose ones leave no gap in these tables."""
+    return wiki.coverage_gaps(s.groundings().where("declared"), s.repo_files())
+
+
+@query(over("grounding repo_file", "+, g AS (SELECT DISTINCT path FROM grounding WHERE declared) SELECT path FROM repo_file f WHERE starts_with(path, 'de/') AND NOT EXISTS (SELECT 1 FROM g WHERE f.path = g.path OR starts_with(f.path, g.path || '/'))"))
+def coverage_gaps_below(s: Star) -> DataFrame:
+    """The prefix is an argument of the operator."""
+    return wiki.coverage_gaps(s.groundings().where("declared"), s.repo_files(), "de/")
 
 
 @query(over("grounding page page_link", "SELECT id AS page, type, coalesce(i.n, 0) AS inbound_links, coalesce(g.n, 0) AS grounded_files FROM page LEFT JOIN (SELECT dst, count(*) AS n FROM page_link GROUP BY dst) i ON dst = id LEFT JOIN (SELECT page, count(*) AS n FROM grounding GROUP BY page) g ON g.page = id ORDER BY inbound_links + grounded_files DESC, page LIMIT 15"))
@@ -143,21 +152,49 @@ def label_stats(s: Star) -> DataFrame:
     return governance.counts_by_label(s.every_concept())
 
 
-@query("""SELECT entry, ref FROM (SELECT DISTINCT 'conv/' || conv_id || '#' || turn AS entry, 'doc/' || (conv_id % 97) AS ref FROM conversations WHERE role = 'user') WHERE ref IN (SELECT 'doc/' || doc_id FROM documents)""")
+_SAID = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+
+
+def _entries(s: Star) -> DataFrame:
+    """Conversations as logs: a day, and a bullet for each turn with its role as kind, its text, and a link."""
+    bullet = F.concat(F.lit("* **"), "role", F.lit("** "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" [d](doc/"), (F.col("conv_id") % 97).cast("string"), F.lit(".md)"))
+    logs = s.table("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", bullet.alias("b")))), lambda x: x["b"]), "\n").alias("bullets"))
+
+    def parse(batches):
+        for b in batches:
+            yield pd.DataFrame([(c, i, e["date"], e["kind"], e["text"], e["refs"]) for c, body in zip(b["conv_id"], b["body"]) for i, e in enumerate(records.log_entries(body))], columns=["path", "place", "date", "kind", "text", "refs"])
+
+    return logs.select("conv_id", F.concat(F.lit("# Log\n\n## 2025-01-02\n"), "bullets").alias("body")).mapInPandas(parse, "path long, place int, date string, kind string, text string, refs array<string>")
+
+
+@query(f"""SELECT path, CAST(place AS INTEGER) AS place, CAST(row_number() OVER (ORDER BY path, place) - 1 AS INTEGER) AS "order", '2025-01-02' AS date, role AS kind, '**' || role || '** ' || said || ' [d](doc/' || (path % 97) || '.md)' AS text FROM (SELECT conv_id AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, {_SAID} AS said FROM conversations)""")
+def log_entries(s: Star) -> DataFrame:
+    return bundle.numbered(_entries(s)).select("path", "place", "order", "date", "kind", "text")
+
+
+@query("SELECT DISTINCT conv_id AS path, 'doc/' || (conv_id % 97) || '.md' AS ref FROM conversations WHERE conv_id % 97 IN (SELECT doc_id FROM documents)")
 def log_refs(s: Star) -> DataFrame:
-    refs = s.table("conversations").where("role = 'user'").select(F.concat(F.lit("conv/"), "conv_id", F.lit("#"), "turn").alias("entry"), F.concat(F.lit("doc/"), F.col("conv_id") % 97).alias("ref")).distinct()
-    return refs.join(s.table("documents").select(F.concat(F.lit("doc/"), "doc_id").alias("ref")), "ref", "left_semi").select("entry", "ref")
+    links = _entries(s).select("path", F.lit("").alias("dir"), F.explode("refs").alias("link"))
+    there = s.table("documents").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".md")).alias("path"))
+    return bundle.resolved(links, "link", "dir", there, "ref").join(there.select(F.col("path").alias("ref")).distinct(), "ref", "left_semi").select("path", "ref").distinct()
 
 
-@query("SELECT conv_id, turn AS prev, next FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL")
+@query("SELECT 'c' || conv_id || '#' || turn AS prev, 'c' || conv_id || '#' || next AS next FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL")
 def next_edges(s: Star) -> DataFrame:
-    following = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return s.table("conversations").select("conv_id", F.col("turn").alias("prev"), following.alias("next")).where("next IS NOT NULL")
+    rows = s.table("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("#"), "turn").alias("uid"), F.col("conv_id").alias("concept_uid"), F.col("turn").alias("order"))
+    return sync.next_sections(rows)
 
 
-@query(over("section", """SELECT uid, doc_id, heading, "order", text, length(text) AS char_count FROM section"""))
+@query("""SELECT doc_id, CASE WHEN i = 1 THEN '_preamble' ELSE 'Line' END AS heading, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS "order", CAST(1 AS INTEGER) AS part, text
+FROM (SELECT doc_id, i, trim(l[i]) AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))) WHERE text <> ''""")
 def section_split(s: Star) -> DataFrame:
-    return s.sections()
+    """Whole texts, each further line under a heading of its own."""
+
+    def parse(batches):
+        for b in batches:
+            yield pd.DataFrame([(d, h, i, p, t) for d, body in zip(b["doc_id"], b["body"]) for i, (h, t, p) in enumerate(records.sections(body))], columns=["doc_id", "heading", "order", "part", "text"])
+
+    return s.table("documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n# Line\n").alias("body")).mapInPandas(parse, "doc_id long, heading string, order int, part int, text string")
 
 
 _OLD = "(SELECT vec_id, CASE WHEN label < 5 THEN 'text ' || label ELSE 'old' END AS text, list_sum(embedding) AS kept FROM embeddings WHERE vec_id % 3 > 0)"
@@ -215,23 +252,135 @@ def path_mention(s: Star) -> DataFrame:
     return codes.select("code", X.path_mention(F.col("code")).alias("m")).where("m IS NOT NULL").select("code", "m.path", "m.kind")
 
 
-_MARKDOWN = "lang || ' [link one](docs/' || doc_id || '.md) and ![image](img.png) see [two](/top.md \"title\") [^' || source || '] end'"
+_MARKDOWN = "coalesce(text, '') || ' [link one](docs/' || doc_id || '.md) and ![image](img.png) see [two](/top.md \"title\") [^' || source || '] end'"
 
 
 def _markdown(s: Star) -> DataFrame:
-    body = F.concat("lang", F.lit(" [link one](docs/"), "doc_id", F.lit('.md) and ![image](img.png) see [two](/top.md "title") [^'), "source", F.lit("] end"))
+    """Whole texts with links, an image, a footnote, and the same again in a fence, where they don't count."""
+    marks = F.concat(F.lit(" [link one](docs/"), "doc_id", F.lit('.md) and ![image](img.png) see [two](/top.md "title") [^'), "source", F.lit("] end"))
+    body = F.concat(F.coalesce("text", F.lit("")), marks, F.lit("\n[^defined]: not referred to\n```\n[fenced](no.md) [^fenced]\n```\n"))
     return s.table("documents").select("doc_id", body.alias("body"))
 
 
+def _each(function: Callable[[str], object], kind: str) -> Callable[[Column], Column]:
+    """A parser of one text, over Arrow batches."""
+    return F.pandas_udf(lambda x: pd.Series([function(t) for t in x.fillna("")], dtype=object), kind)
+
+
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all({_MARKDOWN}, '(?:^|[^!])\\[[^\\]]+\\]\\(([^)\\s]+)', 1), ' ') AS targets FROM documents")
 def link_extract(s: Star) -> DataFrame:
-    return _markdown(s).select("doc_id", F.array_join(F.regexp_extract_all("body", F.lit(r'(?<!!)\[[^\]]+\]\(([^)\s]+)(?:\s+"[^"]*")?\)'), 1), " ").alias("targets"))
+    targets = _each(lambda t: [b for _, b in records.links(t)], "array<string>")
+    return _markdown(s).select("doc_id", F.array_join(targets(F.col("body")), " ").alias("targets"))
+
 
+@query(f"SELECT doc_id, unnest(regexp_extract_all({_MARKDOWN}, '\\[\\^([^\\]]+)\\]', 1)) AS cited FROM documents")
+def footnote_refs(s: Star) -> DataFrame:
+    return _markdown(s).select("doc_id", F.explode(_each(records.footnotes, "array<string>")(F.col("body"))).alias("cited"))
 
-@query("SELECT doc_id, source AS cited FROM documents WHERE source IN (SELECT DISTINCT source FROM documents)")
+
+@query("SELECT doc_id, source AS cited, c.lang AS of_lang FROM documents d JOIN (SELECT source AS s, min(lang) AS lang FROM documents WHERE lang <> 'de' GROUP BY source) c ON d.source = c.s")
 def footnote_cites(s: Star) -> DataFrame:
-    refs = _markdown(s).select("doc_id", F.explode(F.regexp_extract_all("body", F.lit(r"\[\^([^\]]+)\]"), 1)).alias("cited"))
-    return refs.join(s.table("documents").select(F.col("source").alias("cited")).distinct(), "cited", "left_semi").select("doc_id", "cited")
+    """Each footnote with the source that its id names."""
+    known = s.table("documents").where("lang <> 'de'").groupBy(F.col("source").alias("sid")).agg(F.min("lang").alias("of_lang"))
+    refs = _markdown(s).select("doc_id", F.explode(_each(records.footnotes, "array<string>")(F.col("body"))).alias("cited"))
+    return refs.join(known, F.col("cited") == F.col("sid")).select("doc_id", "cited", "of_lang")
+
+
+_RAW = "CASE doc_id % 5 WHEN 0 THEN doc_id || '.md' WHEN 1 THEN '../doc/' || doc_id || '.md#top' WHEN 2 THEN '/doc/' || doc_id || '.md' WHEN 3 THEN '../../out.md' ELSE 'missing/' || doc_id || '.md' END"
+
+
+@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN NULL WHEN 4 THEN 'doc/missing/' || doc_id || '.md' ELSE 'doc/' || doc_id || '.md' END AS target, {_RAW} AS raw FROM documents")
+def link_target(s: Star) -> DataFrame:
+    """Relative, upward, absolute, outward and missing links."""
+    there = s.table("documents").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".md")).alias("path"))
+    raw = s.table("documents").select("doc_id", F.expr(_RAW).alias("raw"), F.lit("doc").alias("dir"))
+    return bundle.resolved(raw, "raw", "dir", there, "target").select("doc_id", "target", "raw")
+
+
+_PLAIN = "replace(coalesce(text, ''), '#', '')"
+
+
+@query(f"SELECT doc_id, '# Top' || chr(10) || {_PLAIN} || chr(10) || '### Below' AS levelled FROM documents")
+def heading_levels(s: Star) -> DataFrame:
+    body = F.concat(F.lit("### Top\n"), F.expr(_PLAIN), F.lit("\n##### Below"))
+    return s.table("documents").select("doc_id", _each(records.level_headings, "string")(body).alias("levelled"))
+
+
+@query(f"SELECT doc_id, '# Name of it' || chr(10) || chr(10) || {_PLAIN} || chr(10) || chr(10) || '## Part' || chr(10) || 'end' AS atx FROM documents")
+def setext_headings(s: Star) -> DataFrame:
+    body = F.concat(F.lit("Name of it\n=======\n\n"), F.expr(_PLAIN), F.lit("\n\nPart\n----\nend"))
+    return s.table("documents").select("doc_id", _each(records.atx, "string")(body).alias("atx"))
+
+
+@query(f"SELECT doc_id, source AS heading, trim({_PLAIN}, chr(10) || ' ') AS body FROM documents")
+def title_and_body(s: Star) -> DataFrame:
+    """The first heading of a text, and the text without it."""
+    body = F.concat(F.lit("\n# "), "source", F.lit("\n\n"), F.expr(_PLAIN))
+    return s.table("documents").select("doc_id", _each(records.first_heading, "string")(body).alias("heading"), _each(records.body_without_title, "string")(body).alias("body"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 3 = 2")
+def meta_date(s: Star) -> DataFrame:
+    """Of meta values: ISO dates, mail dates and others."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.col("event_type"))
+    return s.table("events").select("event_id", _each(lambda t: records.meta_date({"date": t}), "string")(raw).alias("day"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part")
+def default_title(s: Star) -> DataFrame:
+    raw = F.concat(F.lit("parts/"), F.regexp_replace(F.lower("p_type"), " ", "-"))
+    return s.table("part").select("p_partkey", _each(records.default_title, "string")(raw).alias("title"))
+
+
+@query("SELECT page_id, CASE WHEN lang = 'en' THEN './' || name ELSE '../' || lang || '/' || name END AS link FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS lang, regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/([^/?#]*)', 1) AS name FROM pages) WHERE lang <> '' AND name <> ''")
+def relative_link(s: Star) -> DataFrame:
+    """Paths as seen from the folder en."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+/[^/?#]+)", 1)
+    return s.table("pages").select("page_id", path.alias("path")).where("path <> ''").select("page_id", _each(lambda p: records.relative("en", p), "string")(F.col("path")).alias("link"))
+
+
+def _safe(path: str) -> str | None:
+    try:
+        return records.safe_path(path)
+    except ValueError:
+        return None
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '/' || doc_id || '.md' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE lang || '/x.md' END AS path FROM documents")
+def safe_path(s: Star) -> DataFrame:
+    raw = F.expr("CASE doc_id % 4 WHEN 0 THEN source || '/' || doc_id || '.md' WHEN 1 THEN '../' || doc_id || '.md' WHEN 2 THEN '/' || source || '/con.md' ELSE lang || '\\\\x.md' END")
+    return s.table("documents").select("doc_id", _each(_safe, "string")(raw).alias("path"))
+
+
+_TYPES = ["Brushed Steel Case", "Plated Tin", "Promo Item", "Brass"]
+
+
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN s{i} = greatest({', '.join(f's{j}' for j in range(len(_TYPES)))}) THEN '{t}'" for i, t in enumerate(_TYPES)) + " END AS kind FROM (SELECT p_partkey, " + ", ".join(f"len(list_intersect(string_split(lower(p_type), ' '), {t.lower().split()!r})) AS s{i}" for i, t in enumerate(_TYPES)) + " FROM part)")
+def closest_type(s: Star) -> DataFrame:
+    return s.table("part").select("p_partkey", X.closest_type(F.col("p_type"), _TYPES).alias("kind"))
+
+
+@query("SELECT doc_id, upper(source[1]) || source[2:] || ' Margin report; Close Runbook' AS named FROM documents")
+def proposed_links(s: Star) -> DataFrame:
+    """Other documents that whole texts name."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nsee The "), F.initcap("source"), F.lit(" Margin report and, once more, the Close Runbook page. And The "), F.initcap("source"), F.lit(" Margin report"))
+    return s.table("documents").select("doc_id", F.array_join(X.proposed_links(body), "; ").alias("named"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS uid, length(coalesce(text, '')) AS n FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, sha256('Overview'), 8 FROM documents WHERE doc_id % 2 = 1")
+def plain_sections(s: Star) -> DataFrame:
+    """Texts by their headings, as drafts take them: under a heading of their own, or with none but a bare one."""
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# One\n\n"), F.trim(F.coalesce("text", F.lit(""))))).otherwise(F.lit("Overview\n# Empty\n"))
+    parts = _each(lambda t: [x for _, x in authoring.headed(t)], "array<string>")
+    return s.table("documents").select("doc_id", F.explode(parts(body)).alias("t")).select("doc_id", X.digest(F.col("t")).alias("uid"), F.length("t").alias("n"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS ok FROM part")
+def sql_attestation(s: Star) -> DataFrame:
+    """The SQL that ran is the sanctioned one but for blanks, case of keywords and comments, in every third row."""
+    ran = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("SELECT  p_name FROM part -- all\n  Where p_partkey = "), "p_partkey", F.lit(";"))).otherwise(F.concat(F.lit("select p_name from part where p_partkey <> "), "p_partkey"))
+    check = F.pandas_udf(lambda a, b, c: pd.Series([attestation.attest(x, {"job_id": "1", "executed_sql": y, "result": [{"v": z}]}, z)[0] for x, y, z in zip(a, b, c)]), "boolean")
+    return s.table("part").select("p_partkey", check(F.concat(F.lit("select p_name from part where p_partkey = "), "p_partkey"), ran, F.col("p_name")).alias("ok"))
 
 
 @query("SELECT event_id, TRY_CAST(left(raw, 10) AS DATE) AS day FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M') WHEN 1 THEN strftime(ts, '%Y-02-3%w') ELSE event_type END AS raw FROM events)")
@@ -240,9 +389,15 @@ def date_coercion(s: Star) -> DataFrame:
     return s.table("events").select("event_id", X.iso_date(raw).alias("day"))
 
 
-@query("SELECT p_partkey, list_has_any(string_split(lower(p_type), ' '), ['brass', 'promo']) AS hit FROM part")
+@query("SELECT p_partkey FROM part WHERE p_size <= 40 AND list_has_any(string_split(lower(p_type), ' '), ['brass', 'promo'])")
 def tag_overlap(s: Star) -> DataFrame:
-    return s.table("part").select("p_partkey", F.arrays_overlap(F.split(F.lower("p_type"), " "), F.array(F.lit("brass"), F.lit("promo"))).alias("hit"))
+    rows = s.table("part").select("p_partkey", F.split(F.lower("p_type"), " ").alias("tags"), (F.col("p_size") > 40).alias("stub"))
+    return governance.Selection(tags=["brass", "promo"]).filtered(rows, AS_OF).select("p_partkey")
+
+
+@query(over("concept", "SELECT id, trust_tier FROM concept WHERE NOT stub AND trust_tier IN ('machine-confirmed', 'human-reviewed')"))
+def min_trust(s: Star) -> DataFrame:
+    return governance.Selection(min_trust="machine-confirmed").filtered(s.concepts(), AS_OF).select("id", "trust_tier")
 
 
 @query("SELECT l_suppkey AS resource, arg_max(title, l_orderkey * 10 + l_linenumber) AS title, arg_max(modified, l_orderkey * 10 + l_linenumber) AS last_modified FROM (SELECT *, CASE WHEN l_tax > 0.02 THEN l_linestatus || l_linenumber END AS title, CASE WHEN l_discount > 0.03 THEN CAST(l_shipdate AS DATE) END AS modified FROM lineitem) GROUP BY l_suppkey")
@@ -306,24 +461,16 @@ def wiki_retrieval(s: Star) -> DataFrame:
     return retrieval.wiki_context(anchors, pages, s.groundings(), s.page_links())
 
 
-def _python(function: Callable[[str], str], kind: str = "string") -> Callable[[Column], Column]:
-    @F.pandas_udf(kind)
-    def run(x: pd.Series) -> pd.Series:
-        return x.fillna("").map(function)
-
-    return run
-
-
 @query()
 def html_to_markdown(s: Star) -> DataFrame:
     """Rows only: SQL has no HTML parser."""
-    return s.table("pages").select("page_id", _python(lambda h: records.html_to_markdown(h)[1])(F.col("html")).alias("markdown"))
+    return s.table("pages").select("page_id", _each(lambda h: records.html_to_markdown(h)[1], "string")(F.col("html")).alias("markdown"))
 
 
 @query()
 def hash_embed(s: Star) -> DataFrame:
     """Rows only: neither engine has BLAKE2b."""
-    return s.table("documents").select("doc_id", _python(records.hash_embedding, "array<double>")(F.col("text")).alias("embedding"))
+    return s.table("documents").select("doc_id", embedding.vectors(F.col("text")).alias("embedding"))
 
 
 @query(over("bare", "SELECT type AS dir, count(*) || CASE WHEN count(*) = 1 THEN ' concept (' ELSE ' concepts (' END || string_agg(DISTINCT type, ', ' ORDER BY type) || ')' AS summary FROM bare WHERE NOT stub GROUP BY type"))
@@ -331,20 +478,21 @@ def subtree_summary(s: Star) -> DataFrame:
     return sync.subtree_summaries(s.every_concept().where("NOT stub").select("uid", F.substring_index("uid", "/", 1).alias("dir"), "type"))
 
 
-@query("SELECT 'region' AS dir, '# region' || chr(10) || chr(10) || string_agg('* [' || r_name || '](' || r_regionkey || '.md)', chr(10) ORDER BY lower(r_name), 'region/' || r_regionkey) AS body FROM region UNION ALL SELECT 'nation', '# nation' || chr(10) || chr(10) || string_agg('* [' || n_name || '](' || n_nationkey || '.md)', chr(10) ORDER BY lower(n_name), 'nation/' || n_nationkey) FROM nation")
+@query(over("bare", "SELECT type AS dir, '# ' || type || chr(10) || chr(10) || string_agg('* [' || title || '](' || split_part(uid, '/', 2) || '.md)', chr(10) ORDER BY lower(title), uid) AS body FROM bare GROUP BY type"))
 def index_entries(s: Star) -> DataFrame:
-    rows = s.every_concept().where("type IN ('region', 'nation')")
-    return sync.index_blocks(rows.select("id", "title", "type", F.lit(None).cast("string").alias("description")))
+    return sync.index_blocks(s.every_concept().select("id", "title", "type", F.lit(None).cast("string").alias("description")))
 
 
-@query(f"SELECT doc_id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY lower(slug) ORDER BY doc_id) AS k FROM (SELECT doc_id, {_SLUG.format(_CUT.format('left(text, 12)'))} AS slug FROM documents))")
+@query(f"SELECT doc_id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY lower(slug) ORDER BY doc_id) AS k FROM (SELECT doc_id, CASE WHEN slug IN ('index', 'log') THEN slug || '-concept' ELSE slug END AS slug FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'log' ELSE {_SLUG.format(_CUT.format('text'))} END AS slug FROM documents)))")
 def slug_dedup(s: Star) -> DataFrame:
-    return sync.numbered_slugs(s.table("documents").select("doc_id", X.slug(F.left("text", F.lit(12))).alias("slug")), "doc_id")
+    """Slugs of whole texts, and some of a reserved name."""
+    slug = F.when(F.col("doc_id") % 50 == 0, "log").otherwise(X.slug(F.col("text")))
+    return sync.numbered_slugs(s.table("documents").select("doc_id", slug.alias("slug")), "doc_id", ("index", "log"))
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def document_dedup_sha(s: Star) -> DataFrame:
-    return s.table("documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return s.table("documents").groupBy(X.digest(F.col("text")).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 @query("SELECT doc_id, trim(CASE WHEN length(c) < 25 THEN '' WHEN regexp_extract(c || ' ', '^(.{25,220}?[.!?])\\s', 1) <> '' THEN regexp_extract(c || ' ', '^(.{25,220}?[.!?])\\s', 1) ELSE left(c, 220) END) AS sentence FROM (SELECT doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(text, '(?m)^#+\\s+.*$', '', 'g'), '\\s+', ' ', 'g')), '[*`>|]', '', 'g')) AS c FROM documents)")
@@ -400,3 +548,118 @@ def undocumented_files(s: Star) -> DataFrame:
 @query(over("run", "SELECT 'pages' AS bundle, git_head, updated_at FROM run ORDER BY updated_at DESC, git_head DESC LIMIT 1"))
 def latest_run(s: Star) -> DataFrame:
     return wiki.latest_run(s.runs())
+
+
+# Snapshots: how stored tables are kept in step.
+
+
+@query("SELECT p_partkey AS uid, p_brand AS bundle, p_name AS v FROM part WHERE p_brand <> 'Brand#13' UNION ALL SELECT p_partkey, p_brand, 'new' FROM part WHERE p_brand = 'Brand#13' AND p_partkey % 2 = 0")
+def replace_bundle(s: Star) -> DataFrame:
+    old = s.table("part").select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("bundle"), F.col("p_name").alias("v"))
+    return sync.replace_bundle(old, old.where("uid % 2 = 0").withColumn("v", F.lit("new")), "Brand#13")
+
+
+@query("SELECT p_partkey AS uid FROM part WHERE p_partkey % 3 = 0")
+def vanished_rows(s: Star) -> DataFrame:
+    old = s.table("part").select(F.col("p_partkey").alias("uid"))
+    return sync.vanished(old, old.where("uid % 3 <> 0"))
+
+
+@query(over("bare edge", "SELECT uid FROM bare WHERE uid NOT IN (SELECT src FROM edge WHERE rel <> 'LINKS_TO') AND uid NOT IN (SELECT dst FROM edge WHERE rel <> 'LINKS_TO')"))
+def orphans(s: Star) -> DataFrame:
+    return sync.orphans(s.every_concept().select("uid"), s.edges().where("rel <> 'LINKS_TO'"))
+
+
+@query(over("bare edge", "+, l AS (SELECT src, dst FROM edge WHERE NOT starts_with(src, 'order:') AND NOT starts_with(src, 'order/')) SELECT uid FROM bare WHERE type = 'part' AND uid IN (SELECT dst FROM l UNION SELECT src FROM l) UNION ALL SELECT uid FROM bare WHERE type = 'supplier' AND uid IN (SELECT dst FROM l UNION SELECT src FROM l)"))
+def reset_bundle(s: Star) -> DataFrame:
+    """Parts and suppliers that something still points at, after the orders are gone."""
+    edges = s.edges().withColumn("src", F.regexp_replace("src", "^order/", "order:"))
+    shared = s.every_concept().where("type IN ('part', 'supplier')").select("uid")
+    return sync.reset(s.every_concept(), edges, shared, "order")[2]
+
+
+@query("SELECT l_orderkey AS uid, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def duplicate_keys(s: Star) -> DataFrame:
+    return sync.duplicates(s.table("lineitem").select(F.col("l_orderkey").alias("uid")), "uid")
+
+
+def _mixed(s: Star) -> DataFrame:
+    """Vectors, some of which are missing or of another size."""
+    vector = F.when(F.col("label") == 1, F.slice("embedding", 1, 32)).when(F.col("label") != 0, F.col("embedding"))
+    return s.table("embeddings").select(F.col("vec_id").alias("uid"), vector.alias("embedding"))
+
+
+@query("SELECT vec_id AS uid FROM embeddings WHERE label IN (0, 1)")
+def to_embed(s: Star) -> DataFrame:
+    return sync.to_embed(_mixed(s), 64).select("uid")
+
+
+@query("SELECT CAST(CASE label WHEN 1 THEN 32 ELSE 64 END AS INTEGER) AS size, count(*) AS sections FROM embeddings WHERE label <> 0 GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM embeddings WHERE label = 0 HAVING count(*) > 0")
+def embedding_sizes(s: Star) -> DataFrame:
+    return embedding.sizes(_mixed(s))
+
+
+@query(over("grounding", """SELECT 'pages:file:' || path AS uid, path, CASE WHEN first = 'dir' AND bool_file THEN 'file' ELSE first END AS kind, 'pages' AS bundle FROM (SELECT path, arg_min(kind, (declared, page, kind)) AS first, bool_or(kind = 'file') AS bool_file FROM grounding GROUP BY path)"""))
+def source_files(s: Star) -> DataFrame:
+    return sync.source_files(s.groundings(), "pages")
+
+
+@query(over("grounding", "SELECT 'pages:' || page AS src, 'pages:file:' || path AS dst, CASE WHEN kind = 'test' THEN 'VALIDATED_BY' ELSE 'GROUNDED_IN' END AS rel FROM (SELECT page, path, CASE WHEN path LIKE 'fr/%' THEN 'test' ELSE kind END AS kind FROM grounding) UNION ALL SELECT 'pages:' || page, 'pages:sym:' || path, 'DOCUMENTS' FROM grounding WHERE declared"))
+def wiki_edges(s: Star) -> DataFrame:
+    g = s.groundings().withColumn("kind", F.when(F.col("path").startswith("fr/"), "test").otherwise(F.col("kind")))
+    declared = s.groundings().where("declared").select("page", F.lit("symbols").alias("field"), F.col("path").alias("value"), F.lit(0).alias("place"))
+    return sync.wiki_edges(g, declared, "pages")
+
+
+@query("SELECT 'w' AS bundle, event_type AS git_head, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM events WHERE event_id % 3 = 0 GROUP BY event_type UNION ALL SELECT 'w', event_type || '-old', strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events WHERE event_id % 3 = 1 GROUP BY event_type")
+def runs_accumulate(s: Star) -> DataFrame:
+    """Runs of new commits come to the old ones; one that comes again takes its row."""
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated_at")
+    new = s.table("events").where("event_id % 3 = 0").select(F.lit("w").alias("bundle"), F.col("event_type").alias("git_head"), at)
+    old = s.table("events").where("event_id % 3 = 1").select(F.lit("w").alias("bundle"), F.concat("event_type", F.lit("-old")).alias("git_head"), at)
+    stale = s.table("events").where("event_id % 3 = 2").select(F.lit("w").alias("bundle"), F.col("event_type").alias("git_head"), F.concat(F.lit("9"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("updated_at"))
+    return sync.added_runs(old.union(stale), new)
+
+
+@query(over("grounding", "SELECT (SELECT count(*) FROM grounding) AS groundings, (SELECT count(*) FROM (SELECT DISTINCT path, kind <> 'dir' FROM grounding)) AS source_files, (SELECT count(DISTINCT page) FROM grounding WHERE declared) AS extensions"))
+def wiki_stats(s: Star) -> DataFrame:
+    return wiki.stats(s.groundings(), s.groundings().where("declared").select("page"))
+
+
+@query(over("grounding repo_file", "SELECT path FROM grounding WHERE kind = 'file' INTERSECT SELECT path FROM repo_file"))
+def documented_files(s: Star) -> DataFrame:
+    return wiki.documented(s.groundings(), s.repo_files())
+
+
+@query(over("grounding", "+, d AS (SELECT page, path, CASE WHEN path LIKE 'fr/%' THEN 'test' ELSE 'file' END AS kind FROM grounding WHERE declared), p AS (SELECT page, path, kind, mentions FROM grounding WHERE NOT declared) SELECT coalesce(p.page, d.page) AS page, coalesce(p.path, d.path) AS path, CASE WHEN d.kind = 'test' THEN 'test' ELSE coalesce(p.kind, d.kind) END AS kind, coalesce(p.mentions, 0) AS mentions, d.kind IS NOT NULL AS declared FROM p FULL JOIN d ON p.page = d.page AND p.path = d.path"))
+def grounding_merge(s: Star) -> DataFrame:
+    g = s.groundings()
+    prose = g.where("NOT declared").select("page", "path", "kind", F.array(F.lit("Overview")).alias("sections"), "mentions")
+    declared = g.where("declared").select("page", "path", F.when(F.col("path").startswith("fr/"), "test").otherwise("file").alias("kind"))
+    return wiki.merged(prose, declared).drop("sections")
+
+
+def _as_bundle(s: Star) -> bundle.Bundle:
+    """Hosts as pages, of which each names the paths of its URLs in code spans."""
+    host, path = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), F.regexp_replace("url", "^[a-z]+://[^/]+/", "")
+    rows = s.table("pages").groupBy(host.alias("page"), (F.col("page_id") % 2).cast("int").alias("order")).agg(F.collect_list(path).alias("codes"))
+    sections = rows.select(F.concat(F.lit("w:"), "page").alias("concept_uid"), F.concat("page", F.lit("#s"), "order").alias("uid"), F.concat(F.lit("Part "), "order").alias("heading"), "order", "codes")
+    concepts = rows.select("page").distinct().select(F.concat(F.lit("w:"), "page").alias("uid"), F.col("page").alias("id"), F.concat("page", F.lit(".md")).alias("path"), F.lit(False).alias("stub"))
+    links = s.links().where("src LIKE 'nation/%'")
+    return bundle.Bundle("w", None, concepts, sections, s.sources().withColumnRenamed("source", "uid"), links, s.table("region"), s.table("conversations"), s.edges(), concepts.limit(0), {})
+
+
+@query(f"""SELECT page, path, kind, list_sort(list_distinct(list(heading))) AS sections, count(*) AS mentions FROM (SELECT page, heading, p AS path, CASE WHEN NOT contains(split_part(p, '/', -1), '.') THEN 'dir' ELSE 'file' END AS kind FROM (SELECT page, heading, s, regexp_extract(s, '^([A-Za-z0-9_.@-]+(/[A-Za-z0-9_.@*-]+)+)(/\\*?)?([#:]L?[0-9]+(-L?[0-9]+)?)?$', 1) AS p FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS page, 'Part ' || (page_id % 2) AS heading, regexp_replace(trim(regexp_replace(url, '^[a-z]+://[^/]+/', '')), '[,;]+$', '') AS s FROM pages)) WHERE p <> '' AND NOT ({_MENTION}) AND (NOT contains(split_part(p, '/', -1), '.') OR lower(split_part(p, '.', -1)) IN ({', '.join(f"'{e}'" for e in X.EXTENSIONS)}))) GROUP BY page, path, kind""")
+def prose_groundings(s: Star) -> DataFrame:
+    return groundings.prose(_as_bundle(s))
+
+
+@query("SELECT count(DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS concepts, CAST(0 AS BIGINT) AS stubs, count(DISTINCT (regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), page_id % 2)) AS sections, (SELECT count(*) FROM nation) AS links, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS sources, (SELECT count(*) FROM region) AS artifacts, (SELECT count(*) FROM conversations) AS logs FROM pages")
+def bundle_stats(s: Star) -> DataFrame:
+    return s.spark.createDataFrame([_as_bundle(s).stats()], "concepts long, stubs long, sections long, links long, sources long, artifacts long, logs long")
+
+
+@query(over("section", """+, a AS (SELECT *, row_number() OVER (ORDER BY score DESC, uid) AS place FROM (""" + _BM25.format(", ".join(f"('{w}')" for w in WORDS), 50).replace("+, k AS", "WITH k AS", 1).replace("SELECT uid, round(", "SELECT uid, round(", 1) + """)), b AS (SELECT uid, row_number() OVER (ORDER BY uid) AS place FROM (SELECT uid FROM section WHERE contains(lower(text), 'thed') OR contains(lower(heading), 'thed') ORDER BY uid LIMIT 50)) SELECT uid, round(sum(1.0 / (60 + place)), 6)::DOUBLE AS score FROM (SELECT uid, place FROM a UNION ALL SELECT uid, place FROM b) GROUP BY uid ORDER BY round(sum(1.0 / (60 + place)), 9) DESC, uid LIMIT 20"""))
+def hybrid_search(s: Star) -> DataFrame:
+    words = retrieval.bm25(s.sections(), WORDS, 50).withColumn("score", F.round("score", 6))
+    return retrieval.hybrid([words, retrieval.contains(s.sections(), "thed", 50)], 20).withColumn("score", F.round("score", 6))
