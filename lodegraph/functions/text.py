@@ -63,10 +63,14 @@ def slug(text: Column, fallback: str = "document") -> Column:
     return F.when(made == "", fallback).otherwise(made)
 
 
-def infer_type(title: Column, body: Column) -> Column:
-    """The type with the best keyword evidence: 3 for a keyword in the title, 1 in the first 1200 characters."""
-    low = F.lower(title)
-    hay = F.lower(F.concat(title, F.lit("\n"), F.left(body, F.lit(1200))))
+def evidence(title: Column, body: Column) -> Column:
+    """What ``infer_type`` looks at: the title and the first 1200 characters."""
+    return F.lower(F.concat(title, F.lit("\n"), F.left(body, F.lit(1200))))
+
+
+def infer_type(low: Column, hay: Column) -> Column:
+    """The type with the best keyword evidence: 3 for a keyword in the title, 1 in what else there is. Both are looked at for each keyword,
+    so they should be columns of the table (a small title and its ``evidence``), not what makes them."""
     scores = [reduce(lambda a, b: a + b, [F.when(low.contains(k), 3).when(hay.contains(k), 1).otherwise(0) for k in words]) for _, words in TYPE_KEYWORDS]
     best = F.greatest(*scores)
     out = F.when(best == 0, "Term")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
 from .wiki import top_per
 
 
@@ -66,15 +67,18 @@ def similar_ids(concepts: DataFrame, wanted: str, k: int = 6) -> DataFrame:
     return concepts.where(F.col("id").contains(last) | F.col("id").startswith(folder + "/")).select("id").orderBy("id").limit(k)
 
 
-def governed(anchors: DataFrame, concepts: DataFrame, links: DataFrame, verified: DataFrame, sources: DataFrame, computations: DataFrame, as_of: dt.date) -> DataFrame:
+def governed(anchors: DataFrame, concepts: DataFrame, links: DataFrame, verified: DataFrame, sources: DataFrame, computations: DataFrame, as_of: dt.date, ordered: bool = True) -> DataFrame:
     """Anchor sections (section, concept_uid, heading, text, score) with the governance context of their concepts: info, score,
-    concept_id, status, trust_tier. Each side is aggregated by concept before it is joined, so none multiplies another."""
+    concept_id, status, trust_tier, the best first (anchors are a top-k list; for a whole table of them order costs a sort of all).
+    Each side is aggregated by concept before it is joined, so none multiplies another. Concepts and links, which several
+    sides need, are made once and written."""
     ids = anchors.select("concept_uid").distinct()
+    concepts, links = written(concepts), written(links.select("src", "dst").distinct())
     when = F.concat(F.col("actor"), F.coalesce(F.concat(F.lit(" at "), F.date_format("at", "yyyy-MM-dd")), F.lit("")))
     checks = verified.join(ids, "concept_uid", "left_semi").groupBy("concept_uid").agg(F.min(when).alias("check"))
     backing = sources.join(ids, "concept_uid", "left_semi").groupBy("concept_uid").agg(F.sort_array(F.collect_set("source")).alias("backing"))
     own = concepts.join(ids, F.col("uid") == F.col("concept_uid"), "left_semi")
-    step = links.select("src", "dst").distinct()
+    step = links
     near = own.select("uid", "status").join(step, F.col("uid") == F.col("src")).select("uid", "status", F.col("dst").alias("end"), F.lit(1).alias("hops"))
     far = near.where("status = 'deprecated'").join(step, F.col("end") == F.col("src")).select("uid", "status", F.col("dst").alias("end"), F.lit(2).alias("hops"))
     usable = concepts.where("type_label = 'AttestedComputation' AND coalesce(status, 'stable') <> 'deprecated'").select(F.col("uid").alias("end"), F.col("id").alias("c_id"), "runtime", F.col("trust_tier").alias("c_trust"), F.col("stale_after").alias("c_stale"))
@@ -93,7 +97,8 @@ def governed(anchors: DataFrame, concepts: DataFrame, links: DataFrame, verified
         F.coalesce(F.concat(F.lit("derived from: "), F.array_join(F.transform("backing", lambda s: F.concat(s, F.lit("; "))), ""), F.lit("\n")), F.lit("")),
         F.lit("--- matched section ["), "heading", F.lit("] ---\n"), "text", F.lit("\n"), F.coalesce("blocks", F.lit("")),
     )
-    return rows.select("section", info.alias("info"), "score", F.col("id").alias("concept_id"), "status", "trust_tier").orderBy(F.desc("score"), "section")
+    out = rows.select("section", info.alias("info"), "score", F.col("id").alias("concept_id"), "status", "trust_tier")
+    return out.orderBy(F.desc("score"), "section") if ordered else out
 
 
 def wiki_context(anchors: DataFrame, pages: DataFrame, groundings: DataFrame, links: DataFrame) -> DataFrame:

@@ -239,7 +239,8 @@ def _score(words: list[str]) -> str:
 
 @query("SELECT doc_id, CASE WHEN greatest(" + ", ".join(f"s{i}" for i in range(6)) + ") = 0 THEN 'Term' " + " ".join(f"WHEN s{i} = greatest({', '.join(f's{j}' for j in range(6))}) THEN '{n}'" for i, (n, _) in enumerate(X.TYPE_KEYWORDS)) + " END AS kind FROM (SELECT doc_id, " + ", ".join(f"{_score(w)} AS s{i}" for i, (_, w) in enumerate(X.TYPE_KEYWORDS)) + " FROM (SELECT doc_id, lower(source) AS t, lower(source || chr(10) || left(text, 1200)) AS h FROM documents))")
 def infer_type(s: Star) -> DataFrame:
-    return s.table("documents").select("doc_id", X.infer_type(F.col("source"), F.col("text")).alias("kind"))
+    rows = s.table("documents").select("doc_id", F.lower("source").alias("low"), X.evidence(F.col("source"), F.col("text")).alias("hay"))
+    return rows.select("doc_id", X.infer_type(F.col("low"), F.col("hay")).alias("kind"))
 
 
 _MENTION = "s LIKE '%://%' OR contains(s, ' ') OR regexp_matches(s, '^[/~$]')"
@@ -438,7 +439,7 @@ def _governed(s: Star) -> DataFrame:
     concepts = concepts.withColumn("type_label", kind).withColumn("runtime", F.lit("sql")).withColumn("status", F.when(F.col("uid").startswith("part/"), "stable").otherwise(F.col("status")))
     anchors = s.table("orders").select(F.concat(F.lit("order/"), "o_orderkey", F.lit("#s0")).alias("section"), F.concat(F.lit("order/"), "o_orderkey").alias("concept_uid"), F.lit("Summary").alias("heading"), F.col("o_orderpriority").alias("text"), F.round(F.col("o_totalprice") / 1000000, 6).alias("score"))
     sql = s.table("part").select(F.concat(F.lit("part/"), "p_partkey").alias("concept_uid"), F.col("p_name").alias("sql"))
-    return retrieval.governed(anchors, concepts, s.links(), s.verified(), s.sources(), sql, AS_OF)
+    return retrieval.governed(anchors, concepts, s.links(), s.verified(), s.sources(), sql, AS_OF, ordered=False)
 
 
 _PART_BLOCK = "'--- sanctioned computation: ' || p.uid || ' (runtime sql, trust unverified, stale_after -) ---' || chr(10) || p.title || chr(10)"
