@@ -62,8 +62,8 @@ BITS = 52
 STEP = 4
 #: Documents of one combination beyond which they are a list, and of a list beyond which it is one for each pair of its parts.
 LONG, LONGEST = 32, 1 << 16
-#: Grams of the texts that are verified together.
-GRAMS = 1 << 21
+#: Grams of the texts that are verified together; a text counts as so many at least, so that those of a few words are no more than 4096.
+GRAMS, LEAST = 1 << 21, 1 << 9
 _EACH = 1 << 16
 
 
@@ -425,7 +425,7 @@ def bundles(rows: DataFrame, reps: DataFrame) -> DataFrame:
     of_row = each.select("row", "member").join(label, "member").groupBy("row").agg(F.min("label").alias("bundle"))
     homes = each.select("row", "member").join(of_row, "row").groupBy("member").agg(F.sort_array(F.collect_set("bundle")).alias("homes"))
     known = cut(homes.join(reps, F.col("member") == F.col("doc_id")).select("doc_id", "size", "copies", F.when(F.size("homes") > 1, F.col("homes")).alias("homes"), F.explode("homes").alias("bundle")))
-    parts = known.groupBy("bundle").agg(F.sum("size").alias("grams"), F.count("*").alias("docs")).where("docs > 1")
+    parts = known.groupBy("bundle").agg(F.sum(F.greatest("size", F.lit(LEAST))).alias("grams"), F.count("*").alias("docs")).where("docs > 1")
     parts = parts.select(F.col("bundle").alias("of"), F.when(F.col("grams") > GRAMS, F.ceil(2 * F.col("grams") / GRAMS)).otherwise(1).cast("int").alias("parts"))
     split = known.join(parts, F.col("bundle") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     other = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))).otherwise(F.array(F.lit(0)))
