@@ -3,9 +3,9 @@
 A seed is a fixed mask over successive words that hashes the words at its ones and ignores
 those at its zeros, so a substituted word spoils only the seeds that look at it. The seeds of
 the test items are joined with those of all training texts; a hit fixes the document, the item
-and how they lie against each other. Along that diagonal the stretch with the best balance of
-equal and unequal words is taken, and the overlap is verified if the stretch holds enough
-equal words and few others.
+and how they lie against each other. Along that diagonal the stretch with most equal words is taken, of all those in
+which their share is ``SHARE`` or more, and the overlap is verified if it holds enough of them. So words after a copied
+passage that happen to be equal now and then do not hide it.
 
 The training seeds are first put to a bitmap of the items' seeds, of a fixed size, so that only
 those that may meet one become rows of the join; with test sets of any size none is lost.
@@ -16,7 +16,8 @@ Result of ``overlaps``: the best overlap of each document and item: ``doc_id``,
 
 Defined cases. Null or empty texts, on either side, and those shorter than every mask meet
 nothing. Documents or items without an id take no part (the documents stay); rows that repeat
-an id are one, with the greatest of their texts. Other columns are kept and play no part.
+an id are one, with the greatest of their texts. An id that is no integer counts as none. Other columns, of any type and name, are
+kept and play no part.
 Empty tables give an empty result.
 """
 
@@ -66,15 +67,18 @@ def seeds(texts: DataFrame, masks: tuple[str, ...], among=None) -> DataFrame:
     return texts.mapInArrow(lean(scan), "id long, pos int, seed long")
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Begin, end and equal words of the stretch with the greatest sum of +1 for an equal word
-    and -1 for another; the first such."""
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
+def best_stretch(same: np.ndarray, share: float) -> tuple[int, int, int]:
+    """Begin, end and equal words of the stretch with most equal words of those in which their share is at least that; the first such. It
+    begins and ends with an equal word."""
+    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - share, -share))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # A stretch has the share if the score does not fall from its begin to its end; of the begins the earliest one has most.
     low = np.minimum.accumulate(score)
-    gain = score - low
+    begin = np.searchsorted(-low, -(score + 1e-9))
+    gain = equal - equal[begin]
     end = int(gain.argmax())
-    begin = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return begin, end, int(same[begin:end].sum())
+    at = np.flatnonzero(same[begin[end] : end])
+    return (int(begin[end] + at[0]), end, int(gain[end])) if len(at) else (0, 0, 0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, equal: int = EQUAL, share: float = SHARE) -> DataFrame:
@@ -92,8 +96,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
                 best = None
                 for lag in lags:
                     lo, hi = max(0, lag), min(len(d), lag + len(t))
-                    begin, end, n = best_stretch(d[lo:hi] == t[lo - lag : hi - lag])
-                    if n >= min(equal, len(t)) and n >= share * (end - begin) and (best is None or n > best[4]):
+                    begin, end, n = best_stretch(d[lo:hi] == t[lo - lag : hi - lag], share)
+                    if n >= max(1, min(equal, len(t))) and (best is None or n > best[4]):
                         best = (doc_id, item_id, lo + begin, lo + end, n, len(t))
                 if best:
                     found.append(best)

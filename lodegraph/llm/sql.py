@@ -67,12 +67,11 @@ WITH {DOCUMENTS},
 b AS (SELECT item_id, {SQL_WORDS} AS w FROM (SELECT item_id, max(coalesce(text, '')) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)),
 h AS (SELECT DISTINCT x.doc_id, y.item_id, x.p - y.p AS lag FROM ({seeds('w', 'doc_id')}) x JOIN ({seeds('b', 'item_id')}) y ON x.mask = y.mask AND x.seed = y.seed),
 r AS (SELECT h.*, w.w AS dw, b.w AS tw, greatest(0, lag) AS lo, least(len(w.w), lag + len(b.w)) AS hi FROM h JOIN w USING (doc_id) JOIN b USING (item_id)),
-x AS (SELECT doc_id, item_id, lag, lo, len(tw) AS n, x, CASE WHEN x = 0 THEN 0 WHEN dw[lo + x] = tw[lo - lag + x] THEN 1 ELSE -1 END AS step FROM (SELECT *, unnest(range(hi - lo + 1)) AS x FROM r)),
-c AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, item_id, lag ORDER BY x) AS score FROM x),
-l AS (SELECT *, min(score) OVER (PARTITION BY doc_id, item_id, lag ORDER BY x) AS low FROM c),
-e AS (SELECT doc_id, item_id, lag, lo, n, x AS stop, low, score - low AS gain FROM l QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, lag ORDER BY score - low DESC, x) = 1),
-g AS (SELECT e.doc_id, e.item_id, e.lag, any_value(e.lo) AS lo, any_value(e.n) AS n, any_value(stop) AS stop, any_value(gain) AS gain, max(l.x) AS start FROM e JOIN l ON l.doc_id = e.doc_id AND l.item_id = e.item_id AND l.lag = e.lag AND l.x <= e.stop AND l.score = e.low GROUP BY 1, 2, 3),
-o AS (SELECT *, (stop - start + gain) // 2 AS same FROM g)
+x AS (SELECT doc_id, item_id, lag, lo, len(tw) AS n, x, x > 0 AND dw[lo + x] = tw[lo - lag + x] AS hit FROM (SELECT *, unnest(range(hi - lo + 1)) AS x FROM r)),
+c AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER w AS e, sum(CASE WHEN x = 0 THEN 0 WHEN hit THEN {1 - share} ELSE -{share} END) OVER w AS s FROM x WINDOW w AS (PARTITION BY doc_id, item_id, lag ORDER BY x)),
+j AS (SELECT a.doc_id, a.item_id, a.lag, a.x AS stop, any_value(a.lo) AS lo, any_value(a.n) AS n, any_value(a.e) - arg_min(b.e, b.x) AS same, arg_min(b.e, b.x) AS before FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.lag = b.lag AND b.x <= a.x AND b.s <= a.s + 1e-9 GROUP BY 1, 2, 3, 4),
+g AS (SELECT * FROM j WHERE same >= greatest(1, least({equal}, n)) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, lag ORDER BY same DESC, stop) = 1),
+o AS (SELECT g.*, (SELECT min(c.x) - 1 FROM c WHERE c.doc_id = g.doc_id AND c.item_id = g.item_id AND c.lag = g.lag AND c.e = g.before + 1) AS start FROM g)
 SELECT doc_id, item_id, CAST(lo + start AS BIGINT) AS start_word, CAST(lo + stop AS BIGINT) AS end_word, CAST(same AS BIGINT) AS equal_words, CAST(n AS BIGINT) AS item_words FROM o
-WHERE same >= least({equal}, n) AND same >= {share} * (stop - start) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, lag) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, lag) = 1
 """
