@@ -7,7 +7,8 @@ those of ``PAGES`` pages or ``LABELLED`` labelled ones, on a host of any size, a
 Of the names that stay, those are merged whose branches are statistically alike: neither the
 kinds of segment that follow nor the labelled shares of good pages differ by more than the sum of their Hoeffding
 bounds (each name, most frequent first, joins the first group it is alike to). What is left at the
-ends of paths are the templates, such as ``/de|en/{n}.html``.
+ends of paths are the templates, such as ``/de|en/{n}.html``. Levels are grown for as long as any node has ``LEAST`` URLs that go on, as
+no name further down can have more; whatever is deeper is generalised in one step.
 
 A template's purity is its share of pages labelled good, smoothed by ``WEIGHT`` pseudo-pages of its host's share,
 which is smoothed likewise by that of all labelled pages. Templates of a purity under
@@ -25,7 +26,7 @@ Result of ``judge``: for every row ``page_id``, ``host``, ``template``, ``n_page
 
 Defined cases. The scheme, user, port, query and fragment of a URL, empty segments and the case of the host play
 no part. A null or empty URL, and one without a host, has no template; its purity is null and it is not
-rejected. Segments beyond the first ``DEEPEST`` are one segment ``**``. Rows that repeat are answered
+rejected. A page_id that is no integer counts as null. Paths may have any number of segments. Rows that repeat are answered
 each; they count as pages each. Paths without a number have no label. Of repeated labels the lowest counts, null
 ones not at all. Equal counts go by the alphabet. A purity of exactly ``PURITY`` is kept. Other columns play no part. Without any label
 nothing is rejected and purity is null. Empty tables give an empty result.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import cut
+from ._frames import cut, id_of, may_be_in, same_columns
 
 LEAST, SHARE = 5, 0.02
 #: Pages, or labelled ones, with which a name keeps its branch on a host of any size.
@@ -48,7 +49,6 @@ PAGES, LABELLED = 100, 20
 BLOCK, SPELLED = 4096, 50
 ALPHA = 0.05
 WEIGHT, PURITY = 10.0, 0.5
-DEEPEST = 12
 
 
 def host_of(url: Column) -> Column:
@@ -67,14 +67,13 @@ def document_of(url: Column) -> Column:
 def kinds(url: Column) -> Column:
     """The path's segments, variable ones as their types."""
     names = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    whole = F.when(F.size(names) > DEEPEST, F.concat(F.slice(names, 1, DEEPEST), F.array(F.lit("**")))).otherwise(names)
 
     def kind(s: Column) -> Column:
         number = F.regexp_replace(s, r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$", "{n}$1")
         date = F.regexp_replace(number, r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}")
         return F.regexp_replace(date, r"^(?=[^.]*[0-9])[0-9A-Fa-f-]{8,}(\.[A-Za-z0-9]{1,5})?$", "{hex}$1")
 
-    return F.transform(whole, kind)
+    return F.transform(names, kind)
 
 
 def alike(n: int, a: dict[str, int], m: int, b: dict[str, int]) -> bool:
@@ -180,21 +179,26 @@ def grow(shapes: DataFrame) -> DataFrame:
     for depth in range(deepest):
         here = F.try_element_at("kinds", F.lit(depth + 1))
         after = F.coalesce(F.try_element_at("kinds", F.lit(depth + 2)), F.lit("/"))
-        step = state.where(here.isNotNull()).select("host", "node", here.alias("name"), F.when(after.rlike(r"^(\{|/$|\*\*$)"), after).otherwise("name").alias("after"), "n", "labelled", "good")
+        step = state.where(here.isNotNull()).select("host", "node", here.alias("name"), F.when(after.rlike(r"^(\{|/$)"), after).otherwise("name").alias("after"), "n", "labelled", "good")
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
-        counts = cut(step.where(~F.col("name").rlike(r"^(\{|\*\*$)")).groupBy("host", "node", "name", "after").agg(*sums))
+        if step.groupBy("host", "node").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).isEmpty():
+            rest = F.transform(F.slice("kinds", depth + 1, F.greatest(F.size("kinds"), F.lit(1))), lambda k: F.concat(F.lit("/"), F.when(k.rlike(r"^\{"), k).otherwise("*")))
+            state = state.withColumn("node", F.concat("node", F.array_join(rest, "")))
+            break
+        counts = cut(step.where(~F.col("name").rlike(r"^\{")).groupBy("host", "node", "name", "after").agg(*sums))
         whole = step.groupBy("host", "node").agg(F.sum("n").alias("whole"))
         labels = cut(_labels(counts.join(_stay(counts, whole), ["host", "node", "name"])))
         joined = state.withColumn("here", here).join(labels, (F.col("host") == F.col("at_host")) & (F.col("node") == F.col("at_node")) & (F.col("here") == F.col("name")), "left")
-        part = F.coalesce("label", F.when(F.col("here").rlike(r"^(\{|\*\*$)"), F.col("here")).otherwise("*"))
+        part = F.coalesce("label", F.when(F.col("here").rlike(r"^\{"), F.col("here")).otherwise("*"))
         state = cut(joined.select("host", "kinds", "n", "labelled", "good", F.when(F.col("here").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), part)).alias("node")))
     return state.withColumn("template", F.when(F.col("node") == "", "/").otherwise(F.col("node"))).drop("node")
 
 
-def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def _verdicts(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """of_host, of_kinds, template, n_pages, n_labelled and purity of each shape of URL."""
     url = pages["url"].cast("string")
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host_of(url).alias("host"), kinds(url).alias("kinds"), document_of(url).alias("document"))
-    known = labels.select(labels["doc_id"].cast("long").alias("known_id"), labels["quality"].cast("int").alias("quality")).where("known_id IS NOT NULL AND quality IS NOT NULL").groupBy("known_id").agg((F.min("quality") > 0).cast("int").alias("is_good"))
+    rows = pages.select(host_of(url).alias("host"), kinds(url).alias("kinds"), document_of(url).alias("document"))
+    known = labels.select(id_of(labels).alias("known_id"), labels["quality"].try_cast("int").alias("quality")).where("known_id IS NOT NULL AND quality IS NOT NULL").groupBy("known_id").agg((F.min("quality") > 0).cast("int").alias("is_good"))
     labelled = rows.where("host IS NOT NULL").join(known, rows["document"] == known["known_id"], "left")
     shapes = cut(labelled.groupBy("host", "kinds").agg(F.count("*").alias("n"), F.count("is_good").alias("labelled"), F.coalesce(F.sum("is_good"), F.lit(0)).alias("good")))
     grown = cut(grow(shapes))
@@ -205,16 +209,25 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     templates = grown.groupBy("host", "template").agg(F.sum("n").alias("n_pages"), F.sum("labelled").alias("n_labelled"), F.sum("good").alias("good")).join(per_host, "host")
     templates = templates.withColumn("purity", F.round((F.col("good") + WEIGHT * prior) / (F.col("n_labelled") + WEIGHT), 6))
     verdicts = grown.select("host", "kinds", "template").join(templates.select("host", "template", "n_pages", "n_labelled", "purity"), ["host", "template"])
-    verdicts = verdicts.withColumnsRenamed({"host": "of_host", "kinds": "of_kinds"})
+    return verdicts.withColumnsRenamed({"host": "of_host", "kinds": "of_kinds"})
+
+
+def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    url = pages["url"].cast("string")
+    rows = pages.select(id_of(pages, "page_id").alias("page_id"), host_of(url).alias("host"), kinds(url).alias("kinds"))
+    verdicts = _verdicts(pages, labels)
     out = rows.join(verdicts, (F.col("host") == F.col("of_host")) & (F.col("kinds") == F.col("of_kinds")), "left")
     return out.select("page_id", "host", "template", "n_pages", "n_labelled", "purity", F.coalesce(F.col("purity") < PURITY, F.lit(False)).alias("rejected"))
 
 
 def keep(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pages whose URL's template is not rejected, with the columns they came with. Rows are told
-    apart by page_id and URL."""
-    url = "__url_to_judge"
-    wanted = judge(pages.select("page_id", "url"), labels).where("rejected").select(F.col("host").alias("bad_host"), F.col("page_id").alias("bad_id"), F.col("template").alias("bad_template")).distinct()
-    marked = pages.withColumn(url, host_of(pages["url"].cast("string")))
-    names = [F.col(f"`{c}`") for c in pages.columns]
-    return marked.join(wanted, (F.col(url) == F.col("bad_host")) & F.col("page_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*names)
+    """The pages whose URL's template is not rejected, with the columns they came with. Each row goes by its own URL. Only
+    rows whose URL's shape may be a rejected one, by a bitmap, are moved."""
+    bad = cut(_verdicts(pages, labels).where(F.col("purity") < PURITY).select("of_host", "of_kinds"))
+    shape = F.xxhash64(host_of(pages["url"].cast("string")), kinds(pages["url"].cast("string")))
+    may_be = may_be_in(bad.select(F.xxhash64("of_host", "of_kinds").alias("shape")).distinct())(shape)
+    # One row, so that no column of the table meets one of ours.
+    url = F.col("whole").getField("url").cast("string")
+    maybe = pages.where(may_be).select(F.struct(*same_columns(pages)).alias("whole"))
+    spared = maybe.join(bad, (host_of(url) == F.col("of_host")) & (kinds(url) == F.col("of_kinds")), "left_anti")
+    return pages.where(~may_be).unionByName(spared.select("whole.*"))
