@@ -42,12 +42,13 @@ def license_sql(texts: dict[str, str] = TEMPLATES, k: int = license_scan.K, slac
     return f"""
 WITH {DOCUMENTS},
 t AS (SELECT license, {SQL_WORDS} AS tw FROM (VALUES {rows}) AS v(license, text)),
-tg AS (SELECT license, len(tw) AS n, j, array_to_string(tw[j + 1 : j + {k}], ' ') AS g FROM (SELECT *, unnest(range(len(tw) - {k - 1})) AS j FROM t WHERE len(tw) >= {k})),
-dg AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + {k}], ' ') AS g FROM (SELECT *, unnest(range(len(w) - {k - 1})) AS i FROM w WHERE len(w) >= {k})),
-v AS (SELECT doc_id, license, i - j AS diagonal, count(*) AS votes, min(i) AS first, max(i) AS last, any_value(n) AS n FROM dg JOIN tg USING (g) GROUP BY 1, 2, 3),
+tk AS (SELECT license, tw, least({k}, len(tw)) AS k FROM t WHERE len(tw) > 0),
+tg AS (SELECT license, len(tw) AS n, k, j, array_to_string(tw[j + 1 : j + k], ' ') AS g FROM (SELECT *, unnest(range(len(tw) - k + 1)) AS j FROM tk)),
+dg AS (SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS g FROM (SELECT w.*, x.k, unnest(range(len(w) - x.k + 1)) AS i FROM w JOIN (SELECT DISTINCT k FROM tk) x ON len(w) >= x.k)),
+v AS (SELECT doc_id, license, i - j AS diagonal, count(*) AS votes, min(i) AS first, max(i) AS last, any_value(n) AS n, any_value(k) AS k FROM dg JOIN tg USING (k, g) GROUP BY 1, 2, 3),
 f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= least({slack}, n // 4) THEN 0 ELSE 1 END AS fresh FROM v WINDOW o AS (PARTITION BY doc_id, license ORDER BY diagonal)),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, license ORDER BY diagonal) AS cluster FROM f),
-s AS (SELECT doc_id, license, min(first) AS start_word, max(last) + {k} AS end_word, sum(votes) AS votes, list(diagonal) AS diagonals, any_value(n) AS n FROM c GROUP BY doc_id, license, cluster),
+s AS (SELECT doc_id, license, min(first) AS start_word, max(last) + any_value(k) AS end_word, sum(votes) AS votes, list(diagonal) AS diagonals, any_value(n) AS n FROM c GROUP BY doc_id, license, cluster),
 m AS (SELECT s.*, len(list_filter(range(1, n + 1), lambda q: len(list_filter(diagonals, lambda l: q + l >= 1 AND w[q + l] = tw[q])) > 0)) AS matched FROM s JOIN w USING (doc_id) JOIN t USING (license))
 SELECT doc_id, license, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word, CAST(matched AS BIGINT) AS matched_words, CAST(n AS BIGINT) AS template_words, CAST(votes AS BIGINT) AS votes
 FROM m WHERE matched >= {share} * greatest(n, end_word - start_word) - 1e-9
