@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import texts
+from ._frames import id_of, lean, texts
 from ._text import pieces
 
 P, SPAN, DECAY = 4, 7, 0.75
@@ -356,7 +356,7 @@ def _best_windows(x: np.ndarray, weights: np.ndarray, cuts: np.ndarray, bad: np.
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, chars: int = CHARS) -> Model:
     """Fits on at most ``toxic_rows`` and ``clean_rows`` labelled documents of at most ``chars``
     characters, the first in hash order."""
-    known = labels.select(labels["doc_id"].cast("long").alias("known_id"), labels["toxic"].cast("int").alias("toxic")).where("known_id IS NOT NULL AND toxic IS NOT NULL").groupBy("known_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(id_of(labels).alias("known_id"), labels["toxic"].try_cast("int").alias("toxic")).where("known_id IS NOT NULL AND toxic IS NOT NULL").groupBy("known_id").agg(F.max("toxic").alias("toxic"))
     # Of each side twice as many as needed, for those that are too long; a bounded number of ids.
     ids = known.where("toxic = 1").orderBy(F.xxhash64("known_id")).limit(2 * toxic_rows).unionByName(known.where("toxic <> 1").orderBy(F.xxhash64("known_id")).limit(2 * clean_rows))
     got = texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("known_id")).where(F.length("text").between(1, chars)).select("doc_id", "toxic", "text").toArrow().to_pylist()
@@ -375,7 +375,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
             score = held.value.scores(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array(score >= held.value.threshold)], ["doc_id", "score", "toxic"])
 
-    return texts(docs).mapInArrow(scan, "doc_id long, score double, toxic boolean")
+    return texts(docs).mapInArrow(lean(scan), "doc_id long, score double, toxic boolean")
 
 
 def find_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
