@@ -2,6 +2,9 @@
 
 import re
 from collections import Counter
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodegraph.llm import decontaminate, language_id, mixing
@@ -58,5 +61,33 @@ def test_stages(spark, tmp_path):
 
 
 def test_run_gives_the_same(spark):
+    """And leaves one folder, that of the last stage."""
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
-    assert corpus_pipeline.run(spark, SF).count() > 50
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 50
+    last = Path(out.inputFiles()[0].removeprefix("file://").replace("file:", "")).parent
+    assert last.name == corpus_pipeline.STAGES[-1][0] and [p.name for p in last.parent.iterdir()] == [last.name]
+
+
+def test_messy_documents(spark, tmp_path):
+    """Nulls, repeated rows and ids, texts without a letter, and columns whose names the stages use themselves."""
+    prose = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(12).collect()]
+    rows = [(i, t, "en", "s") for i, t in enumerate(prose)]
+    rows += [(0, prose[0], "en", "s"), (50, prose[1], None, None), (51, None, None, None), (52, "", "en", "s"), (53, "... 12", "en", "s"), (None, prose[2] + " more words", "en", "s"), (None, None, None, None), (54, " ".join(prose) * 3, "en", "s")]
+    extra = ["count", "member", "whole", "cut_id", "verdict", "src", "block", "class_id", "row", "id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("x") for c in extra}).withColumn("facts", F.create_map(F.lit("k"), F.col("source")))
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        seen = []
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, now, SF).write.parquet(f"{tmp_path}/{empty}-{name}")
+            now = spark.read.parquet(f"{tmp_path}/{empty}-{name}")
+            assert now.columns == docs.columns
+            seen.append([r["doc_id"] for r in now.collect()])
+        if empty:
+            assert not any(seen)
+            continue
+        language, near, cut, clean, mixed = seen
+        assert not {51, 52, 53} & set(language) and language.count(None) == 1 and language.count(0) == 2
+        assert near.count(0) == 1 and 50 not in near and 1 in near and near.count(None) == 1
+        assert cut.count(None) == clean.count(None) == 1 and None not in mixed and set(mixed) <= set(clean)
