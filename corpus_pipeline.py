@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages that take and return documents, each written and read again."""
+"""The corpus pipeline: stages that take and return documents, each written and read again.
+
+Each stage has the defined cases of its operator, so of the whole: a document whose text is null, empty or without a letter has
+no language and goes in the first stage; of rows that repeat a doc_id the second keeps one, that with the greatest text; rows without a
+doc_id (or with one that is no integer) pass all stages but the last, which samples by it and leaves them out. Of equal texts, and of near copies, the
+smallest doc_id stays, and of passages the first by doc_id and position, whatever the order of the table. Other columns, of
+any type and name, are kept. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -45,8 +52,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads it any more
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        before = path
     return docs
