@@ -12,7 +12,7 @@ from .. import attestation, authoring
 from ..functions import records
 from ..functions import text as X
 from ..operators import embedding, governance, graph, retrieval, sync, wiki
-from ..sources import bundle, groundings
+from ..sources import bundle, documents, groundings, web
 from .oracle import AS_OF as SQL_AS_OF
 from .oracle import over, reached
 from .star import AS_OF, Star
@@ -664,3 +664,18 @@ def bundle_stats(s: Star) -> DataFrame:
 def hybrid_search(s: Star) -> DataFrame:
     words = retrieval.bm25(s.sections(), WORDS, 50).withColumn("score", F.round("score", 6))
     return retrieval.hybrid([words, retrieval.contains(s.sections(), "thed", 50)], 20).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT 'web:' || url AS uid, url AS location, 'text/html' AS media_type, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS byte_len FROM pages")
+def page_documents(s: Star) -> DataFrame:
+    """Stored pages as documents."""
+    return documents.from_pages(s.table("pages")).select("uid", "location", "media_type", "sha256", "byte_len")
+
+
+@query("SELECT 'https://d.example/' || doc_id || '.txt' AS location, source AS title, 'text/plain' AS media_type, '2025-02-05' AS last_modified, sha256('# ' || source || chr(10) || coalesce(text, '')) AS sha256 FROM documents")
+def answer_documents(s: Star) -> DataFrame:
+    """Whole texts as answers of a web server."""
+    body = F.concat(F.lit("# "), "source", F.lit("\n"), F.coalesce("text", F.lit("")))
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/plain; charset=utf-8"), F.lit("Last-Modified"), F.lit("Wed, 05 Feb 2025 10:00:00 GMT"))
+    answers = s.table("documents").select(F.concat(F.lit("https://d.example/"), "doc_id", F.lit(".txt")).alias("url"), headers.alias("headers"), body.cast("binary").alias("body"))
+    return web.documents_of(answers).select("location", "title", "media_type", "last_modified", "sha256")
