@@ -1,8 +1,10 @@
 """Queries of the registry over small tables that no sample of the driver holds, against their SQL."""
 
+import duckdb
 import pytest
 
 from lodegraph.operators import governance
+from lodegraph.plans import registry
 
 
 @pytest.fixture
@@ -24,3 +26,13 @@ def test_co_citation_of_one_source_is_spread(as_is):
     assert rows(pairs) == sorted([("s", a, b) for a in ids for b in ids if a < b] + [(None, "x", "y")], key=repr)
     per_task = [n for n in pairs.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
     assert len(per_task) == 4 and max(per_task) < 0.5 * sum(per_task)
+
+
+def test_plain_sections_of_any_text(spark, tmp_path):
+    texts = ["plain", "", " led and trailed by blanks \n", "\n\nx\n", "# Own\n\nbelow\n## Two\n# Three", None, "|bar\n|bar|\n", "\t　", "a\r\n# b\r\n", "# "]
+    docs = [(2 * i, t) for i, t in enumerate(texts)] + [(1, "odd"), (-1, "x"), (-2, "# y\nz "), (None, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(registry.SQL["plain_sections"]).fetchall(), key=repr)
+    assert rows(registry.QUERIES["plain_sections"](spark, str(tmp_path))) == want
