@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lodegraph.operators import governance
+from lodegraph.operators import governance, graph
 from lodegraph.plans import registry
 
 
@@ -36,3 +36,19 @@ def test_plain_sections_of_any_text(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.sql(registry.SQL["plain_sections"]).fetchall(), key=repr)
     assert rows(registry.QUERIES["plain_sections"](spark, str(tmp_path))) == want
+
+
+@pytest.mark.parametrize("sent, few", [(1 << 24, 64), (0, 64), (0, 1)])
+def test_search_of_scanned_edges(spark, monkeypatch, sent, few):
+    """Small frontiers, large ones of few kinds, and of many, against a search by hand."""
+    monkeypatch.setattr(graph, "SENT", sent)
+    monkeypatch.setattr(graph, "KINDS", few)
+    pairs = [(f"{'abc'[i % 3]}/{i}", f"{'abc'[k % 3]}/{k}") for i in range(60) for k in (i * 7 % 60, i + 1)] + [("a/0", None), (None, "a/0"), ("a/0", "a/0"), ("plain", "a/3")]
+    edges = spark.createDataFrame(pairs * 2, "src string, dst string")
+    for reverse, both in ((False, False), (True, False), (False, True)):
+        want, last = {"a/0": 0}, {"a/0"}
+        for depth in range(1, 4):
+            last = {y for s, d in pairs for x, y in (((s, d), (d, s)) if both else ((d, s),) if reverse else ((s, d),)) if x in last} - set(want)
+            want |= {y: depth for y in last}
+        got = graph.reach(edges, spark.createDataFrame([("a/0",)], "node string"), 3, reverse=reverse, both=both, scanned=True).collect()
+        assert len(got) == len(want) and {r["node"]: r["hops"] for r in got} == want
