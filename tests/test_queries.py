@@ -52,3 +52,17 @@ def test_search_of_scanned_edges(spark, monkeypatch, sent, few):
             want |= {y: depth for y in last}
         got = graph.reach(edges, spark.createDataFrame([("a/0",)], "node string"), 3, reverse=reverse, both=both, scanned=True).collect()
         assert len(got) == len(want) and {r["node"]: r["hops"] for r in got} == want
+
+
+def agrees(spark, name, folder="/root/testdata/sf0.001"):
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for t in "region nation customer supplier part orders lineitem".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    made = registry.QUERIES[name](spark, folder)
+    return made if rows(made) == sorted(con.sql(registry.SQL[name]).fetchall(), key=repr) else None
+
+
+def test_dangling_links_make_no_tiers(spark):
+    made = agrees(spark, "dangling_links")
+    assert made is not None and "l_returnflag" not in made._jdf.queryExecution().executedPlan().toString()
