@@ -66,3 +66,11 @@ def agrees(spark, name, folder="/root/testdata/sf0.001"):
 def test_dangling_links_make_no_tiers(spark):
     made = agrees(spark, "dangling_links")
     assert made is not None and "l_returnflag" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["impact_analysis", "seed_neighbourhood"])
+def test_searches_write_no_edges(spark, monkeypatch, name):
+    kept = []
+    monkeypatch.setattr(graph, "written", lambda df: kept.append(df.columns) or df.localCheckpoint())
+    assert agrees(spark, name) is not None
+    assert kept and not any("here" in c for c in kept)
