@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +23,12 @@ def spoken(title: Column, heading: Column, text: Column) -> Column:
 
 
 def vectors(text: Column, embed: Embedder = hash_embeddings) -> Column:
-    """Arrow batches of texts, embedded a batch at a time."""
+    """Arrow batches of texts, embedded a batch at a time; vectors go to Arrow without a list of Python's in between."""
 
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(embed(x.fillna("")), float)), dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        made = np.asarray(embed(pd.Series(x.to_pandas(), dtype=object).fillna("")), float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * (made.shape[1] if len(made) else 0)), pa.array(made.ravel()))
 
     return run(text)
 

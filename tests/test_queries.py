@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lodegraph.functions import records
 from lodegraph.operators import governance, graph
 from lodegraph.plans import registry
 
@@ -68,6 +69,16 @@ def test_dangling_links_make_no_tiers(spark):
     assert made is not None and "l_returnflag" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vectors_of_a_batch_are_made_in_pieces():
+    held = []
+    texts = ["ab " * 200_000, None, "", "x y " * 150_000, *(["word " * 10] * 9)]
+    for piece in records.pieces(texts):
+        assert len(piece) == 1 or sum(map(len, piece)) <= records.PIECE
+        held += piece
+    assert held == [t or "" for t in texts] and len(list(records.pieces(texts))) > 1 and list(records.pieces([])) == []
+    assert records.hash_embeddings(texts, 16).tolist() == [records.hash_embedding(t, 16) for t in texts] and records.hash_embeddings([], 16).shape == (0, 16)
+
+
 @pytest.mark.parametrize("name", ["impact_analysis", "seed_neighbourhood"])
 def test_searches_write_no_edges(spark, monkeypatch, name):
     kept = []
