@@ -1,6 +1,7 @@
 """Queries of the registry over small tables that no sample of the driver holds, against their SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lodegraph.functions import records
@@ -79,6 +80,16 @@ def test_vectors_of_a_batch_are_made_in_pieces():
     assert records.hash_embeddings(texts, 16).tolist() == [records.hash_embedding(t, 16) for t in texts] and records.hash_embeddings([], 16).shape == (0, 16)
 
 
+def test_parsed_rows_are_handed_on_in_pieces():
+    """A batch of many lines comes out in several frames."""
+    batch = pd.DataFrame({"k": [1, 2, 3, 4], "body": ["a\n" * 30_000, "", "b\n" * 9, "c" * (3 << 19)]})
+    frames = list(registry._parsed("k", "body", lambda t: [(x,) for x in t.split()], ["k", "place", "text"])([batch, batch[:0]]))
+    assert len(frames) > 1 and max(len(f) for f in frames) < 20_000
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == [(k, i, x) for k, t in zip(batch["k"], batch["body"]) for i, x in enumerate(t.split())]
+
+
+
+
 @pytest.mark.parametrize("name", ["impact_analysis", "seed_neighbourhood"])
 def test_searches_write_no_edges(spark, monkeypatch, name):
     kept = []
