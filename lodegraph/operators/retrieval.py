@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .graph import written
+from . import graph
+from .graph import kind_of
 from .wiki import top_per
 
 
@@ -67,27 +68,77 @@ def similar_ids(concepts: DataFrame, wanted: str, k: int = 6) -> DataFrame:
     return concepts.where(F.col("id").contains(last) | F.col("id").startswith(folder + "/")).select("id").orderBy("id").limit(k)
 
 
+def _few(rows: DataFrame) -> list[Row] | None:
+    """The distinct rows; None if they are more than a few."""
+    found = rows.distinct().limit(graph.KINDS**2 + 1).collect()
+    return found if len(found) <= graph.KINDS**2 else None
+
+
+def _of_kinds(rows: DataFrame, key: str, of: set[str] | None) -> DataFrame:
+    """The rows whose node is of one of the kinds; all if these are not known."""
+    return rows if of is None else rows.where(kind_of(F.col(key)).isin(sorted(k for k in of if k is not None)))
+
+
 def governed(anchors: DataFrame, concepts: DataFrame, links: DataFrame, verified: DataFrame, sources: DataFrame, computations: DataFrame, as_of: dt.date, ordered: bool = True) -> DataFrame:
     """Anchor sections (section, concept_uid, heading, text, score) with the governance context of their concepts: info, score,
     concept_id, status, trust_tier, the best first (anchors are a top-k list; for a whole table of them order costs a sort of all).
-    Each side is aggregated by concept before it is joined, so none multiplies another. Concepts and links, which several
-    sides need, are made once and written."""
-    ids = anchors.select("concept_uid").distinct()
-    concepts, links = written(concepts), written(links.select("src", "dst").distinct())
+    Each side is aggregated by concept before it is joined, so none multiplies another. Concepts and links are scans that each side makes
+    again, of the kinds of nodes only that can lead to something; links may be repeated."""
+    ids = anchors.select("concept_uid").where("concept_uid IS NOT NULL").distinct()
+    of = graph.kinds(anchors, "concept_uid")
+    own_kinds = None if of is None else {k for k, _ in of}
+    many = of is not None and sum(size for _, size in of) > graph.SENT
+
+    def own(df: DataFrame, key: str) -> DataFrame:
+        """The rows of the anchors' concepts; of many anchors, all rows of their kinds, as joins with the anchors drop the rest."""
+        if many:
+            return _of_kinds(df, key, own_kinds)
+        of_anchors = ids.withColumnRenamed("concept_uid", "own_uid")
+        return df.join(of_anchors if of is None else F.broadcast(of_anchors), F.col(key) == F.col("own_uid"), "left_semi")
+
+    def by_concept(df: DataFrame, key: str) -> DataFrame:
+        """Moved as they are: hardly any of a concept's rows meet before."""
+        return own(df, key).repartition(key)
+
+    usable = F.coalesce((F.col("type_label") == "AttestedComputation") & (F.coalesce("status", F.lit("stable")) != "deprecated"), F.lit(False))
+    stable = F.coalesce("status", F.lit("stable")) == "stable"
+    gone = F.coalesce(F.col("status") == "deprecated", F.lit(False))
+    facets = _few(concepts.select(kind_of(F.col("uid")).alias("kind"), "type", usable.alias("usable"), stable.alias("stable"), gone.alias("gone")))
+    pairs = _few(links.select(kind_of(F.col("src")).alias("a"), kind_of(F.col("dst")).alias("b")))
+    if facets is None or pairs is None:
+        used_kinds = gone_kinds = middle_kinds = other_kinds = None
+    else:
+        used_kinds = {f["kind"] for f in facets if f["usable"]}
+        gone_facets = [f for f in facets if f["gone"] and (own_kinds is None or f["kind"] in own_kinds)]
+        gone_kinds, gone_types = {f["kind"] for f in gone_facets}, {f["type"] for f in gone_facets}
+        middle_kinds = {p["b"] for p in pairs if p["a"] in gone_kinds} & {p["a"] for p in pairs if p["b"] in used_kinds}
+        other_kinds = {f["kind"] for f in facets if f["stable"] and f["type"] in gone_types} & {p["b"] for p in pairs if p["a"] in gone_kinds}
+
     when = F.concat(F.col("actor"), F.coalesce(F.concat(F.lit(" at "), F.date_format("at", "yyyy-MM-dd")), F.lit("")))
-    checks = verified.join(ids, "concept_uid", "left_semi").groupBy("concept_uid").agg(F.min(when).alias("check"))
-    backing = sources.join(ids, "concept_uid", "left_semi").groupBy("concept_uid").agg(F.sort_array(F.collect_set("source")).alias("backing"))
-    own = concepts.join(ids, F.col("uid") == F.col("concept_uid"), "left_semi")
-    step = links
-    near = own.select("uid", "status").join(step, F.col("uid") == F.col("src")).select("uid", "status", F.col("dst").alias("end"), F.lit(1).alias("hops"))
-    far = near.where("status = 'deprecated'").join(step, F.col("end") == F.col("src")).select("uid", "status", F.col("dst").alias("end"), F.lit(2).alias("hops"))
-    usable = concepts.where("type_label = 'AttestedComputation' AND coalesce(status, 'stable') <> 'deprecated'").select(F.col("uid").alias("end"), F.col("id").alias("c_id"), "runtime", F.col("trust_tier").alias("c_trust"), F.col("stale_after").alias("c_stale"))
-    found = near.union(far).groupBy("uid", "end").agg(F.min("hops").alias("hops")).join(usable, "end").join(computations.select(F.col("concept_uid").alias("end"), F.left("sql", F.lit(1200)).alias("sql")), "end", "left")
-    block = F.concat(F.lit("--- sanctioned computation: "), "c_id", F.lit(" (runtime "), F.coalesce("runtime", F.lit("?")), F.lit(", trust "), F.coalesce("c_trust", F.lit("?")), F.lit(", stale_after "), F.coalesce(F.col("c_stale").cast("string"), F.lit("-")), F.lit(") ---\n"), F.coalesce("sql", F.lit("")), F.lit("\n"))
-    blocks = found.groupBy("uid").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("hops", "c_id", block.alias("block")))), lambda s: s["block"]), "").alias("blocks")).withColumnRenamed("uid", "b_uid")
-    stable = concepts.where("coalesce(status, 'stable') = 'stable'").select(F.col("uid").alias("end"), F.col("id").alias("r_id"), F.col("type").alias("r_type"))
-    instead = own.where("status = 'deprecated'").select("uid", "type").join(step, F.col("uid") == F.col("src")).join(stable, (F.col("dst") == F.col("end")) & (F.col("type") == F.col("r_type"))).groupBy("uid").agg(F.min("r_id").alias("instead")).withColumnRenamed("uid", "i_uid")
-    rows = anchors.join(concepts.withColumnRenamed("uid", "concept_uid"), "concept_uid").join(checks, "concept_uid", "left").join(backing, "concept_uid", "left").join(blocks, F.col("concept_uid") == F.col("b_uid"), "left").join(instead, F.col("concept_uid") == F.col("i_uid"), "left")
+    checks = by_concept(verified.select("concept_uid", when.alias("check")), "concept_uid").groupBy("concept_uid").agg(F.min("check").alias("check"))
+    backing = by_concept(sources.select("concept_uid", "source"), "concept_uid").groupBy("concept_uid").agg(F.sort_array(F.collect_set("source")).alias("backing"))
+    step = links.select("src", "dst")
+    served = concepts.where(usable).select(F.col("uid").alias("end"), F.col("id").alias("c_id"), F.coalesce("runtime", F.lit("?")).alias("runtime"), F.coalesce("trust_tier", F.lit("?")).alias("c_trust"), F.coalesce(F.col("stale_after").cast("string"), F.lit("-")).alias("c_stale"))
+    served = served.join(computations.select(F.col("concept_uid").alias("end"), F.left("sql", F.lit(1200)).alias("sql")), "end", "left").withColumn("sql", F.coalesce("sql", F.lit("")))
+    deprecated = own(concepts.where(gone).select("uid", "type"), "uid")
+    found = own(_of_kinds(step, "dst", used_kinds), "src").select(F.col("src").alias("uid"), F.col("dst").alias("end"), F.lit(1).alias("hops"))
+    if middle_kinds is None or middle_kinds:
+        first = _of_kinds(_of_kinds(step, "src", gone_kinds), "dst", middle_kinds).join(deprecated, F.col("src") == F.col("uid"), "left_semi").select(F.col("src").alias("uid"), F.col("dst").alias("middle")).distinct()
+        second = _of_kinds(_of_kinds(step, "src", middle_kinds), "dst", used_kinds).distinct()
+        far = first.join(second, F.col("middle") == F.col("src")).select("uid", F.col("dst").alias("end"), F.lit(2).alias("hops"))
+        found = found.union(far).groupBy("uid", "end").agg(F.min("hops").alias("hops"))
+    # Names of computations go to the links, and with them to the concepts; the text of a block is made where it is joined.
+    found = found.join(served.hint("shuffle_hash") if many else served, "end").select("uid", F.struct("hops", "c_id", "runtime", "c_trust", "c_stale", "sql").alias("c")).repartition("uid")
+    block = lambda c: F.concat(F.lit("--- sanctioned computation: "), c["c_id"], F.lit(" (runtime "), c["runtime"], F.lit(", trust "), c["c_trust"], F.lit(", stale_after "), c["c_stale"], F.lit(") ---\n"), c["sql"], F.lit("\n"))
+    placed = F.sort_array(F.transform("c", lambda c: F.struct(c["hops"].alias("hops"), c["c_id"].alias("c_id"), block(c).alias("block"))))
+    blocks = found.groupBy(F.col("uid").alias("b_uid")).agg(F.collect_set("c").alias("c")).select("b_uid", F.array_join(F.transform(placed, lambda s: s["block"]), "").alias("blocks"))
+    rows = anchors.join(concepts.withColumnRenamed("uid", "concept_uid"), "concept_uid").join(checks, "concept_uid", "left").join(backing, "concept_uid", "left").join(blocks, F.col("concept_uid") == F.col("b_uid"), "left")
+    if other_kinds is None or other_kinds:
+        others = _of_kinds(concepts.where(stable), "uid", other_kinds).select(F.col("uid").alias("end"), F.col("id").alias("r_id"), F.col("type").alias("r_type"))
+        instead = deprecated.join(_of_kinds(_of_kinds(step, "src", gone_kinds), "dst", other_kinds), F.col("uid") == F.col("src")).join(others, (F.col("dst") == F.col("end")) & (F.col("type") == F.col("r_type")))
+        rows = rows.join(instead.groupBy(F.col("uid").alias("i_uid")).agg(F.min("r_id").alias("instead")), F.col("concept_uid") == F.col("i_uid"), "left")
+    else:
+        rows = rows.withColumn("instead", F.lit(None).cast("string"))
     day = F.col("stale_after").cast("string")
     fresh = F.when(F.col("stale_after").isNull(), "no stale_after set").when(F.col("stale_after") <= F.lit(as_of), F.concat(F.lit("STALE since "), day, F.lit(" — re-verify before serving"))).otherwise(F.concat(F.lit("fresh until "), day))
     info = F.concat(

@@ -1,11 +1,14 @@
 """Queries of the registry over small tables that no sample of the driver holds, against their SQL."""
 
+import datetime as dt
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
 
 from lodegraph.functions import records
-from lodegraph.operators import governance, graph
+from lodegraph.operators import governance, graph, retrieval
 from lodegraph.plans import registry
 
 
@@ -96,3 +99,60 @@ def test_searches_write_no_edges(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "written", lambda df: kept.append(df.columns) or df.localCheckpoint())
     assert agrees(spark, name) is not None
     assert kept and not any("here" in c for c in kept)
+
+
+def test_governed_retrieval_writes_nothing(spark):
+    """Concepts and links are not written to be read again."""
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(folder.rglob("part-*"))
+    assert agrees(spark, "governed_retrieval") is not None
+    assert set(folder.rglob("part-*")) == before
+
+
+def test_scores_of_governed_retrieval_are_rounded_as_in_sql(spark, tmp_path):
+    """255935.5 is a tie by its digits, and below one by the number that its millionth is."""
+    for t in "region nation customer supplier part orders lineitem".split():
+        rest = " REPLACE (CAST(255935.5 + o_orderkey AS DOUBLE) AS o_totalprice)" if t == "orders" else ""
+        duckdb.sql(f"COPY (SELECT *{rest} FROM '/root/testdata/sf0.001/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    assert agrees(spark, "governed_retrieval", str(tmp_path)) is not None
+
+
+@pytest.mark.parametrize("sent, few", [(1 << 24, 64), (0, 64), (0, 1), (1 << 24, 1)])
+def test_governed_context_by_hand(spark, monkeypatch, sent, few):
+    """Few anchors, many of few kinds, and of many: computations one link away, or two from what is deprecated, and what takes its place."""
+    monkeypatch.setattr(graph, "SENT", sent)
+    monkeypatch.setattr(graph, "KINDS", few)
+    day = dt.date(2020, 1, 1)
+    uids = [f"{'abc'[i % 3]}/{i}" for i in range(24)] + ["plain"]
+    concepts = [(u, u, "uvw"[i % 2], f"T{i}", ("stable", "deprecated", None, "draft", "deprecated")[i % 5], (None, day)[i % 2], ("AttestedComputation", "Other")[i % 4 > 0], ("sql", None)[i % 8 > 0], ("unverified", None)[i % 3 > 0]) for i, u in enumerate(uids)]
+    links = [(uids[i], uids[k]) for i in range(25) for k in (i * 7 % 25, (i + 4) % 25, (i + 8) % 25)] * 2 + [("a/0", None), (None, "a/0"), ("a/0", "x/1"), ("x/1", "a/0")]
+    computed = [(u, f"select {i}") for i, u in enumerate(uids) if i % 3] + [("b/4", "again"), ("b/4", "again")]
+    checks, sources = [("a/0", "z", day), ("a/0", "y", None), ("b/1", "x", day), ("x/1", "x", day)], [("a/0", "t"), ("a/0", "s"), ("a/0", "s"), ("c/2", "r")]
+    anchors = [(f"{u}#{k}", u, "H", "text", 0.5) for u in uids[:20] + ["plain"] for k in range(2)] + [("x#0", "x/1", "H", "t", 1.0), ("none", None, "H", "t", 1.0)]
+    frame = spark.createDataFrame
+    got = retrieval.governed(
+        frame(anchors, "section string, concept_uid string, heading string, text string, score double"),
+        frame(concepts, "uid string, id string, type string, title string, status string, stale_after date, type_label string, runtime string, trust_tier string"),
+        frame(links, "src string, dst string"), frame(checks, "concept_uid string, actor string, at date"), frame(sources, "concept_uid string, source string"),
+        frame(computed, "concept_uid string, sql string"), day, ordered=False,
+    )
+    of, out = {c[0]: c for c in concepts}, {u: {d for s, d in links if s == u and d in {c[0] for c in concepts}} for u in uids}
+    want = []
+    for section, u, heading, text, score in anchors:
+        if u in of:
+            _, _, type_, title, status, stale, _, _, trust = of[u]
+            near = dict.fromkeys(out[u], 1)
+            if status == "deprecated":
+                near = {e: 2 for m in out[u] for e in out[m]} | near
+            served = sorted((h, e, f"--- sanctioned computation: {e} (runtime {of[e][7] or '?'}, trust {of[e][8] or '?'}, stale_after {of[e][5] or '-'}) ---\n{q}\n") for e, h in near.items() if of[e][6] == "AttestedComputation" and of[e][4] != "deprecated" for q in ({q for c, q in computed if c == e} or {""}))
+            instead = min((e for e in out[u] if of[e][4] in (None, "stable") and of[e][2] == type_), default=None) if status == "deprecated" else None
+            check = min((a + (f" at {at}" if at else "") for c, a, at in checks if c == u), default=None)
+            back = sorted({s for c, s in sources if c == u})
+            info = None
+            if status is not None and trust is not None:
+                info = f"=== {title}  ({u}) ===\ntype: {type_}\nstatus: {status}" + (f"  →  SUPERSEDED BY: {instead}" if instead else "") + f"\ntrust: {trust}" + (f" ({check})" if check else "")
+                info += "\nfreshness: " + ("STALE since 2020-01-01 — re-verify before serving" if stale else "no stale_after set") + "\n" + (f"derived from: {''.join(s + '; ' for s in back)}\n" if back else "")
+                info += f"--- matched section [{heading}] ---\n{text}\n" + "".join(b for _, _, b in served)
+            want.append((section, info, score, u, status, trust))
+    assert rows(got) == sorted(want, key=repr)
+    assert any("SUPERSEDED" in (w[1] or "") for w in want) and any("sanctioned" in (w[1] or "") for w in want)
