@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,10 +123,29 @@ def subtree_summaries(concepts: DataFrame, artifacts: DataFrame | None = None) -
     return out.select("dir", F.concat_ws(", ", held, others).alias("summary"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted lines (dir, type, t, id, entry), the first of each run of one dir and type in a batch, and the run's entries in one text."""
+    for b in batches:
+        if b.num_rows:
+            turns = pc.or_(*[pc.not_equal(b[c].slice(1), b[c].slice(0, b.num_rows - 1)) for c in ("dir", "type")])
+            first = np.flatnonzero(np.concatenate([[True], turns.to_numpy(zero_copy_only=False)]))
+            runs = pa.ListArray.from_arrays(pa.array([*first, b.num_rows], pa.int32()), b["entry"])
+            out = b.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([*out.columns, pc.binary_join(runs, "\n")], [*out.schema.names, "text"])
+
+
 def index_blocks(concepts: DataFrame) -> DataFrame:
-    """dir and the index of its concepts (id, title, type, description), by type, title and id."""
+    """dir and the index of its concepts (id, title, type, description), by type, title and id. Many tasks sort ranges of lines and join
+    them; the one that has a directory gets texts in place of lines, and joins these once."""
     entry = F.concat(F.lit("* ["), "title", F.lit("]("), F.substring_index("id", "/", -1), F.lit(".md)"), F.coalesce(F.concat(F.lit(" - "), "description"), F.lit("")))
-    rows = concepts.select(F.when(F.col("id").contains("/"), F.regexp_replace("id", "/[^/]*$", "")).otherwise("").alias("dir"), "type", F.struct(F.lower("title").alias("t"), "id", entry.alias("entry")).alias("e"))
-    lines = rows.groupBy("dir", "type").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["entry"]).alias("lines"))
-    block = F.concat(F.lit("# "), "type", F.lit("\n\n"), F.array_join("lines", "\n"))
-    return lines.select("dir", F.struct("type", block.alias("block")).alias("b")).groupBy("dir").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["block"]), "\n\n").alias("body"))
+    rows = concepts.select(F.when(F.col("id").contains("/"), F.regexp_replace("id", "/[^/]*$", "")).otherwise("").alias("dir"), "type", F.lower("title").alias("t"), "id", entry.alias("entry"))
+    order = ["dir", "type", "t", "id", "entry"]
+    lines = rows.where("type IS NOT NULL AND entry IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order)
+    texts = lines.mapInArrow(_joined, "dir string, type string, t string, id string, entry string, text string")
+    # Texts are joined by one line feed, so a heading brings those beside it: one after, and one before but for the first.
+    heads = rows.groupBy("dir", "type").agg(F.count("entry").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("dir").orderBy(F.asc_nulls_last("type"))))
+    heading = F.concat(F.when(F.col("place") > 1, "\n").otherwise(""), F.lit("# "), "type", F.when(F.col("n") > 0, "\n").otherwise("\n\n"))
+    parts = heads.select("dir", F.struct("type", *[F.lit(None).cast("string").alias(c) for c in order[2:]], heading.alias("text")).alias("part"))
+    parts = parts.union(texts.select("dir", F.struct(*order[1:], "text").alias("part")))
+    # Unlike array_join, concat_ws takes memory for a text once, and not for one that grows.
+    return parts.groupBy("dir").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("part")), lambda p: p["text"])).alias("body"))

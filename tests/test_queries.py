@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from lodegraph.functions import records
-from lodegraph.operators import governance, graph, retrieval
+from lodegraph.operators import governance, graph, retrieval, sync
 from lodegraph.plans import registry
 
 
@@ -156,3 +156,37 @@ def test_governed_context_by_hand(spark, monkeypatch, sent, few):
             want.append((section, info, score, u, status, trust))
     assert rows(got) == sorted(want, key=repr)
     assert any("SUPERSEDED" in (w[1] or "") for w in want) and any("sanctioned" in (w[1] or "") for w in want)
+
+
+def test_index_blocks_by_hand(as_is):
+    """Directories of several types, of untyped or untitled concepts only, and of none; runs that batches part."""
+    as_is.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        cards = [(f"a/{i}", f"T{i % 7}", "xyz"[i % 3], "about" if i % 4 == 0 else None) for i in range(30)]
+        cards += [("root", "R", "x", None), ("a/b/1", "t", "y", ""), ("a/b/1", "t", "y", ""), ("c/1", "t", None, None), ("d/1", None, "x", None), ("d/2", None, "y", None), ("d/3", "Ω\n", "y", None), (None, "n", "x", None), ("e/1", None, "x", None), ("a/99", "t1", None, "d")]
+        got = sync.index_blocks(as_is.createDataFrame(cards, "id string, title string, type string, description string")).collect()
+    finally:
+        as_is.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for d in {(i or "").rpartition("/")[0] for i, *_ in cards}:
+        inside = [c for c in cards if (c[0] or "").rpartition("/")[0] == d]
+        entries = lambda kind: [f"* [{t}]({i.rpartition('/')[2]}.md)" + ("" if a is None else f" - {a}") for _, i, t, a in sorted((t.lower(), i, t, a) for i, t, k, a in inside if k == kind and i and t)]  # noqa: B023, E731
+        want.append((d, "\n\n".join(f"# {k}\n\n" + "\n".join(entries(k)) for k in sorted({c[2] for c in inside if c[2]}))))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_index_of_a_large_directory_is_sorted_by_many_tasks(as_is):
+    """The task that has the directory reads texts, not its lines."""
+    sc = as_is.sparkContext
+    cards = as_is.range(40_000).selectExpr("concat('order/', id) AS id", "concat('Order ', id) AS title", "'order' AS type", "CAST(NULL AS string) AS description")
+    sc.setJobGroup("index", "index")
+    try:
+        assert len(sync.index_blocks(cards).collect()) == 1
+    finally:
+        sc._jsc.clearJobGroup()
+    store, read = sc._jsc.sc().statusStore(), []
+    for stage in {i for job in sc.statusTracker().getJobIdsForGroup("index") for i in sc.statusTracker().getJobInfo(job).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        metrics = [m.get().shuffleReadMetrics() for m in (tasks.apply(i).taskMetrics() for i in range(tasks.size())) if m.isDefined()]
+        read.append([m.localBytesRead() + m.remoteBytesRead() for m in metrics] or [0])
+    assert max(map(max, read)) < 0.6 * max(map(sum, read))
